@@ -8,35 +8,27 @@ Scratch: :func:`materialize` writes a table into the folder that all executors s
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reportmill.plans.shipping import ship
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\u000b\f\r"
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once an application; Python workers import it from there."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        _shipped.add(app)
-        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="reportmill-")), "reportmill_package.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in os.walk(top):
-                for name in names:
-                    if name.endswith(".py"):
-                        z.write(full := os.path.join(folder, name), os.path.relpath(full, os.path.dirname(top)))
-        spark.sparkContext.addPyFile(path)
-    return spark
+#: Rows in an Arrow batch: texts may be long, and a batch is held whole by a Python worker and its JVM.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Sends the package to the executors and keeps Arrow batches of texts small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return ship(spark)
 
 
 _written: list[tuple[SparkSession, str]] = []

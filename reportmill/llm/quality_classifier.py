@@ -13,6 +13,8 @@ scores.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,14 +41,14 @@ def statistics(text: str | None) -> list[float]:
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     by = np.bincount(_CLASS[raw], minlength=8) if len(raw) else np.zeros(8, int)
     rate = lambda k: float(np.log((by[k] + 0.5) / (n + 1)))
-    counts = pd.Series(words).value_counts(sort=False).to_numpy() if n else np.zeros(1)
+    counts = Counter(words)
     pairs = len(set(zip(words, words[1:]))) if n > 1 else 0  # noqa: B905
     lines = [x for x in text.split("\n") if x.strip()]
     share = lambda a, b: float(np.log((a + 1) / (b + 1)))
     return [
         float(np.log1p(n)), float(np.log1p(len(text) / (n + 1))), rate(1), rate(2), rate(3), rate(4), rate(5), rate(6), rate(7),
         float(np.log1p(len(counts)) / np.log(n + 2)), share(pairs, max(n - 1, 0)), share(len(set(lines)), len(lines)),
-        float(np.log1p(n / (len(lines) + 1))), share(float(counts.max()), n),
+        float(np.log1p(n / (len(lines) + 1))), share(max(counts.values(), default=0), n),
     ]
 
 

@@ -14,12 +14,12 @@ from reportmill.llm import (
     simhash,
     toxicity,
 )
-from reportmill.llm.common import ship
+from reportmill.llm.common import prepare
 
 
 def _shipping(query):
     def run(spark, sf_dir):
-        return query(ship(spark), sf_dir)
+        return query(prepare(spark), sf_dir)
 
     return run
 
