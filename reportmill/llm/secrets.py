@@ -86,8 +86,11 @@ def _escapes(text: str):
     if "%" in text:
         for m in URL_BYTES.finditer(text):
             s = _text(bytes.fromhex(m[0].replace("%", "")))
-            if s is not None:
-                found.append((m.start(), m.end(), s))
+            at = m.start()
+            for c in s or "":
+                size = 3 * len(c.encode())
+                found.append((at, at + size, c))
+                at += size
     if "\\" in text or "&#" in text:
         for m in ESCAPE.finditer(text):
             try:
