@@ -60,6 +60,7 @@ def assign_copies(
     """Adds the size of a row's source, that source's target and how many copies of the row the mix takes."""
     source_size, target, copies = fresh(df, *names)
     cls, bucket, order, n, in_cls, in_src, rank = fresh(df, "cls", "bucket", "order", "n_rows", "in_cls", "in_src", "rank")
+    s1, c1, b1, z1, t1, s2, c2 = fresh(df, "s1", "c1", "b1", "z1", "t1", "s2", "c2")
     bits = F.length(F.bin(col(size) + 1))
     v = f"(`{size}` + 1)"
     b = f"length(bin({v}))"
@@ -74,32 +75,32 @@ def assign_copies(
     sources = classes.groupBy(col(source)).agg(F.sum(size).alias(source_size))
     earlier = (Window.unboundedPreceding, -1)
     in_class = cells.select(
-        col(source).alias("s1"), col(cls).alias("c1"), col(bucket).alias("b1"),
+        col(source).alias(s1), col(cls).alias(c1), col(bucket).alias(b1),
         F.coalesce(F.sum(n).over(Window.partitionBy(source, cls).orderBy(bucket).rowsBetween(*earlier)), F.lit(0)).alias(in_cls),
     )
     in_source = classes.select(
-        col(source).alias("s2"), col(cls).alias("c2"),
+        col(source).alias(s2), col(cls).alias(c2),
         F.coalesce(F.sum(n).over(Window.partitionBy(source).orderBy(cls).rowsBetween(*earlier)), F.lit(0)).alias(in_src),
     )
-    goal = targets(sources, source, source_size, weights, cap, target).withColumnRenamed(source, "s2")
-    starts = in_source.join(goal, in_source["s2"].eqNullSafe(goal["s2"])).select(
-        in_source["s2"], "c2", in_src, source_size, target
+    goal = targets(sources, source, source_size, weights, cap, target).withColumnRenamed(source, s2)
+    starts = in_source.join(goal, in_source[f"`{s2}`"].eqNullSafe(goal[f"`{s2}`"])).select(
+        in_source[f"`{s2}`"], col(c2), col(in_src), col(source_size), col(target)
     )
-    cell_starts = in_class.join(starts, F.col("s1").eqNullSafe(F.col("s2")) & (F.col("c1") == F.col("c2"))).select(
-        "s1", "c1", "b1", (col(in_cls) + col(in_src)).alias(in_src), col(source_size).alias("z1"), col(target).alias("t1")
+    cell_starts = in_class.join(starts, col(s1).eqNullSafe(col(s2)) & (col(c1) == col(c2))).select(
+        col(s1), col(c1), col(b1), (col(in_cls) + col(in_src)).alias(in_src), col(source_size).alias(z1), col(target).alias(t1)
     )
     within = Window.partitionBy(source, cls, bucket).orderBy(col(size), col(order), col(key))
     numbered = rows.withColumn(rank, F.row_number().over(within) - 1)
-    rate = F.when(F.col("z1") > 0, F.col("t1") / F.col("z1")).otherwise(F.lit(0.0))
+    rate = F.when(col(z1) > 0, col(t1) / col(z1)).otherwise(F.lit(0.0))
     offset = _hash12(F.concat(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("s"), col(source).cast("string")), F.lit("n")))) / F.lit(float(1 << 48))
     k = col(rank) + col(in_src)
     crossed = F.floor((k + 1) * rate + offset) - F.floor(k * rate + offset)
     joined = numbered.join(
-        cell_starts, col(source).eqNullSafe(F.col("s1")) & (col(cls) == F.col("c1")) & (col(bucket) == F.col("b1"))
+        cell_starts, col(source).eqNullSafe(col(s1)) & (col(cls) == col(c1)) & (col(bucket) == col(b1))
     )
     return joined.select(
         *[numbered[f"`{c}`"] for c in df.columns],
-        F.col("z1").alias(source_size), F.col("t1").alias(target),
+        col(z1).alias(source_size), col(t1).alias(target),
         F.least(crossed, F.ceil(rate)).cast("long").alias(copies),
     )
 

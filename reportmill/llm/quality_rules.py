@@ -154,9 +154,9 @@ def judge(df: DataFrame, *, text: str = "text", threshold: float = 0.5, carry: l
     """
     carry = df.columns if carry is None else carry
     names = fresh(df, *FEATURES)
-    pattern, base, posterior, kept = fresh(df, "votes", "base_failed", "posterior", "kept")
+    pattern, base, posterior, kept, vote_key = fresh(df, "votes", "base_failed", "posterior", "kept", "vote_key")
     n = dict(zip(FEATURES, names, strict=True))
-    counted = with_statistics(df.select(*dict.fromkeys([*carry, text])), text, names)
+    counted = with_statistics(df.select(*map(col, dict.fromkeys([*carry, text]))), text, names)
     code = sum((v * 3**j for j, v in enumerate(votes(n))), F.lit(0))
     failed = (col(n["n_words"]) < 20) | (100 * col(n["n_repeat_words"]) > 30 * col(n["n_words"]))
     counted = counted.withColumn(base, failed).withColumn(pattern, code.cast("int"))
@@ -164,10 +164,10 @@ def judge(df: DataFrame, *, text: str = "text", threshold: float = 0.5, carry: l
     counts = stored.groupBy(col(pattern).alias("pattern")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     # at most 3 ** len(RULES) rows: bounded by the rules, not by the data
     fitted = counts.agg(F.sort_array(F.collect_list(F.struct("pattern", "n"))).alias("p")).select(F.inline(fit(F.col("p"))))
-    fitted = fitted.select(F.col("pattern").alias("vote_key"), F.col("posterior").alias(posterior))
+    fitted = fitted.select(F.col("pattern").alias(vote_key), F.col("posterior").alias(posterior))
     return (
-        stored.join(F.broadcast(fitted), col(pattern) == F.col("vote_key"))
-        .drop("vote_key")
+        stored.join(F.broadcast(fitted), col(pattern) == col(vote_key))
+        .drop(vote_key)
         .withColumn(kept, ~col(base) & (col(posterior) >= threshold))
     )
 

@@ -196,13 +196,13 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
 
 def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One document of each group: that with the least key (null last, then any one of equal keys)."""
-    fp, row, rank, first = fresh(docs, "fp_value", "row_no", "rank", "first")
+    fp, row, rank, out = fresh(docs, "fp_value", "row_no", "rank", "gone")
     rows = materialize(with_fingerprint(docs, text=text, name=fp).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
     order = F.struct(col(key).isNull().alias("n"), col(key).alias("k"), col(row).alias("r"))
     small = rows.select(col(fp).alias("fp"), order.alias(rank))
     best = component_of(small, "fp", rank)
-    gone = _join(small, best, "fp").where(F.col("first") != col(rank)).select(col(rank)["r"].alias("gone"))
-    return rows.join(gone, col(row) == F.col("gone"), "left_anti").select(*[col(c) for c in docs.columns])
+    gone = _join(small, best, "fp").where(F.col("first") != col(rank)).select(col(rank)["r"].alias(out))
+    return rows.join(gone, col(row) == col(out), "left_anti").select(*[col(c) for c in docs.columns])
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
