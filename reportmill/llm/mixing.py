@@ -23,16 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportmill.llm.common import col, documents, fresh, n_words
+from reportmill.llm.common import col, documents, fresh, materialize, n_words
 
 BUCKETS = 256
 
 
 def targets(sources: DataFrame, source: str, size: str, weights: tuple[int, ...], cap: float, out: str) -> DataFrame:
-    """Adds each source's target to a table of one row per source."""
+    """Adds each source's target to a table of one row per source; keys are 's' and the name, or 'n' for the null source."""
     pos, weight, most, before, after, share = fresh(sources, "pos", "weight", "most", "before", "after", "share")
     everything = Window.partitionBy()
-    by_name = everything.orderBy(col(source).asc_nulls_last())
+    by_name = everything.orderBy((col(source) == "n").asc(), col(source).asc())
     by_ratio = everything.orderBy((col(most) / col(weight)).asc(), col(pos).asc())
     first = F.min(F.when(col(most) / col(weight) > col(share), F.struct(col(before), col(share)))).over(everything)
     return (
@@ -59,44 +59,45 @@ def assign_copies(
 ) -> DataFrame:
     """Adds the size of a row's source, that source's target and how many copies of the row the mix takes."""
     source_size, target, copies = fresh(df, *names)
-    cls, bucket, order, n, in_cls, in_src, rank = fresh(df, "cls", "bucket", "order", "n_rows", "in_cls", "in_src", "rank")
+    cls, bucket, order, n, in_cls, in_src, rank, src = fresh(df, "cls", "bucket", "order", "n_rows", "in_cls", "in_src", "rank", "src")
     s1, c1, b1, z1, t1, s2, c2 = fresh(df, "s1", "c1", "b1", "z1", "t1", "s2", "c2")
     bits = F.length(F.bin(col(size) + 1))
     v = f"(`{size}` + 1)"
     b = f"length(bin({v}))"
     eighth = F.expr(f"CASE WHEN {b} >= 4 THEN shiftright({v}, {b} - 4) ELSE shiftleft({v}, 4 - {b}) END").bitwiseAND(7)
+    # a key that is never null, so that the window's partitioning serves the join as well
     rows = (
-        df.withColumn(order, _hash12(F.coalesce(col(key).cast("string"), F.lit("null"))))
+        df.withColumn(src, F.coalesce(F.concat(F.lit("s"), col(source).cast("string")), F.lit("n"))).withColumn(order, _hash12(F.coalesce(col(key).cast("string"), F.lit("null"))))
         .withColumn(cls, (bits * 8 + eighth).cast("int"))
         .withColumn(bucket, F.shiftright(col(order), 40).cast("int"))
     )
-    cells = rows.groupBy(col(source), col(cls), col(bucket)).agg(F.count(F.lit(1)).alias(n), F.sum(size).alias(size))
-    classes = cells.groupBy(col(source), col(cls)).agg(F.sum(n).alias(n), F.sum(size).alias(size))
-    sources = classes.groupBy(col(source)).agg(F.sum(size).alias(source_size))
+    cells = rows.groupBy(col(src), col(cls), col(bucket)).agg(F.count(F.lit(1)).alias(n), F.sum(size).alias(size))
+    classes = cells.groupBy(col(src), col(cls)).agg(F.sum(n).alias(n), F.sum(size).alias(size))
+    sources = classes.groupBy(col(src)).agg(F.sum(size).alias(source_size))
     earlier = (Window.unboundedPreceding, -1)
     in_class = cells.select(
-        col(source).alias(s1), col(cls).alias(c1), col(bucket).alias(b1),
-        F.coalesce(F.sum(n).over(Window.partitionBy(source, cls).orderBy(bucket).rowsBetween(*earlier)), F.lit(0)).alias(in_cls),
+        col(src).alias(s1), col(cls).alias(c1), col(bucket).alias(b1),
+        F.coalesce(F.sum(n).over(Window.partitionBy(src, cls).orderBy(bucket).rowsBetween(*earlier)), F.lit(0)).alias(in_cls),
     )
     in_source = classes.select(
-        col(source).alias(s2), col(cls).alias(c2),
-        F.coalesce(F.sum(n).over(Window.partitionBy(source).orderBy(cls).rowsBetween(*earlier)), F.lit(0)).alias(in_src),
+        col(src).alias(s2), col(cls).alias(c2),
+        F.coalesce(F.sum(n).over(Window.partitionBy(src).orderBy(cls).rowsBetween(*earlier)), F.lit(0)).alias(in_src),
     )
-    goal = targets(sources, source, source_size, weights, cap, target).withColumnRenamed(source, s2)
-    starts = in_source.join(goal, in_source[f"`{s2}`"].eqNullSafe(goal[f"`{s2}`"])).select(
-        in_source[f"`{s2}`"], col(c2), col(in_src), col(source_size), col(target)
+    goal = targets(sources, src, source_size, weights, cap, target).withColumnRenamed(src, s2)
+    starts = in_source.join(goal, s2).select(
+        col(s2), col(c2), col(in_src), col(source_size), col(target)
     )
-    cell_starts = in_class.join(starts, col(s1).eqNullSafe(col(s2)) & (col(c1) == col(c2))).select(
+    cell_starts = in_class.join(starts, (col(s1) == col(s2)) & (col(c1) == col(c2))).select(
         col(s1), col(c1), col(b1), (col(in_cls) + col(in_src)).alias(in_src), col(source_size).alias(z1), col(target).alias(t1)
     )
-    within = Window.partitionBy(source, cls, bucket).orderBy(col(size), col(order), col(key))
+    within = Window.partitionBy(src, cls, bucket).orderBy(col(size), col(order), col(key))
     numbered = rows.withColumn(rank, F.row_number().over(within) - 1)
     rate = F.when(col(z1) > 0, col(t1) / col(z1)).otherwise(F.lit(0.0))
-    offset = _hash12(F.concat(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("s"), col(source).cast("string")), F.lit("n")))) / F.lit(float(1 << 48))
+    offset = _hash12(F.concat(F.lit(f"{seed}|"), col(src))) / F.lit(float(1 << 48))
     k = col(rank) + col(in_src)
     crossed = F.floor((k + 1) * rate + offset) - F.floor(k * rate + offset)
     joined = numbered.join(
-        cell_starts, col(source).eqNullSafe(col(s1)) & (col(cls) == col(c1)) & (col(bucket) == col(b1))
+        cell_starts, (col(src) == col(s1)) & (col(cls) == col(c1)) & (col(bucket) == col(b1))
     )
     return joined.select(
         *[numbered[f"`{c}`"] for c in df.columns],
@@ -121,6 +122,7 @@ def mix(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = materialize(sized, "mix-sizes")  # a few bytes a row, read three times; texts are read once
     return assign_copies(sized, size="size").select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
