@@ -135,8 +135,12 @@ def rarity_order(counts: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("order_hash", R.hash_order(F.col("split_group"), seed))
 
 
-def place_groups(groups: list[tuple[str, dict[str, int]]], ratios: dict[str, float]) -> dict[str, str]:
-    """Greedy placement: each group goes where the squared normalized deviation from the targets grows least."""
+def place_groups(groups: list[tuple[str, dict[str, int]]], ratios: dict[str, float], moves: int = 200) -> dict[str, str]:
+    """Greedy placement: each group goes where the squared normalized deviation from the targets grows least.
+
+    Then at most ``moves`` groups, taken in the same order, change their split where that lowers the total,
+    and a split that got nothing takes the smallest group of the fullest one.
+    """
     check_ratios(ratios)
     totals: dict[str, int] = defaultdict(int)
     for _, features in groups:
@@ -157,6 +161,28 @@ def place_groups(groups: list[tuple[str, dict[str, int]]], ratios: dict[str, flo
         out[name] = best
         for f, n in features.items():
             held[best][f] += n
+
+    def move(name: str, features: dict[str, int], to: str) -> None:
+        for f, n in features.items():
+            held[out[name]][f] -= n
+            held[to][f] += n
+        out[name] = to
+
+    left = moves
+    for name, features in groups:
+        now = out[name]
+        falls = sum(cost(now, f, held[now][f]) - cost(now, f, held[now][f] - n) for f, n in features.items())
+        grow = {s: sum(cost(s, f, held[s][f] + n) - cost(s, f, held[s][f]) for f, n in features.items()) for s in ratios if s != now}
+        best = min(grow, key=lambda s: (grow[s], s), default=None)
+        if left and best is not None and grow[best] < falls - 1e-15:
+            move(name, features, best)
+            left -= 1
+    for empty in [s for s in ratios if s not in out.values()]:
+        fullest = max(ratios, key=lambda s: (sum(x == s for x in out.values()), s))
+        mine = [(f.get("__studies__", 0), n, f) for n, f in groups if out[n] == fullest]
+        if len(mine) > 1:
+            _, name, features = min(mine, key=lambda x: x[:2])
+            move(name, features, empty)
     return out
 
 

@@ -12,8 +12,14 @@ from reportmill.plans.corpora import NORM_SQL, TOKENS_SQL, docs
 from reportmill.plans.registry import register
 from reportmill.sources.tables import table
 
-NORM = X.normalize(F.col("report"))
-WORDS = X.tokens(NORM)
+
+def norm():
+    return X.normalize(F.col("report"))
+
+
+def words():
+    return X.tokens(norm())
+
 
 
 @register("src_01_typed_scan", "SELECT CAST(doc_id AS VARCHAR) AS study, lang, source, n_chars FROM documents")
@@ -39,7 +45,7 @@ def src_09(spark, d):
 
 @register("txt_01_normalize", f"SELECT doc_id AS study, sha256({NORM_SQL}) AS normal_sha256 FROM documents")
 def txt_01(spark, d):
-    return docs(spark, d).select("study", X.sha256(NORM).alias("normal_sha256"))
+    return docs(spark, d).select("study", X.sha256(norm()).alias("normal_sha256"))
 
 
 @register(
@@ -47,7 +53,7 @@ def txt_01(spark, d):
     rf"SELECT doc_id AS study, regexp_matches({NORM_SQL}, '(^|[^\p{{L}}\p{{N}}_])(the|und|pour)([^\p{{L}}\p{{N}}_]|$)') AS has_term FROM documents",
 )
 def txt_03(spark, d):
-    return docs(spark, d).select("study", X.contains_terms(NORM, ("the", "und", "pour")).alias("has_term"))
+    return docs(spark, d).select("study", X.contains_terms(norm(), ("the", "und", "pour")).alias("has_term"))
 
 
 @register(
@@ -58,7 +64,7 @@ def txt_03(spark, d):
     SELECT doc_id AS study, CAST(s AS INT) AS s, CAST(s + length(part) AS INT) AS e, part AS term FROM p WHERE part IN ('the', 'und', 'pour')""",
 )
 def txt_04(spark, d):
-    found = X.spans(NORM, X.term_pattern(("the", "und", "pour")))
+    found = X.spans(norm(), X.term_pattern(("the", "und", "pour")))
     return docs(spark, d).select("study", F.inline(found)).select("study", "s", "e", F.col("t").alias("term"))
 
 
@@ -83,7 +89,7 @@ LANGUAGE_SQL = _language_sql()
 
 @register("txt_07_language_group", LANGUAGE_SQL)
 def txt_07(spark, d):
-    return docs(spark, d).select("study", X.language_group(NORM).alias("language_group"))
+    return docs(spark, d).select("study", X.language_group(norm()).alias("language_group"))
 
 
 @register(
@@ -91,12 +97,12 @@ def txt_07(spark, d):
     f"WITH g AS ({LANGUAGE_SQL}) SELECT study, CASE WHEN language_group = 'english' THEN 'english' ELSE language_group || '|english' END AS hypotheses FROM g",
 )
 def txt_08(spark, d):
-    return docs(spark, d).select("study", F.array_join(X.language_hypotheses(NORM), "|").alias("hypotheses"))
+    return docs(spark, d).select("study", F.array_join(X.language_hypotheses(norm()), "|").alias("hypotheses"))
 
 
 @register("txt_10_tokens", f"SELECT doc_id AS study, CAST(len({TOKENS_SQL}) AS INT) AS n_tokens, sha256(array_to_string({TOKENS_SQL}, ' ')) AS tokens_sha256 FROM documents")
 def txt_10(spark, d):
-    return docs(spark, d).select("study", F.size(WORDS).alias("n_tokens"), X.sha256(F.array_join(WORDS, " ")).alias("tokens_sha256"))
+    return docs(spark, d).select("study", F.size(words()).alias("n_tokens"), X.sha256(F.array_join(words(), " ")).alias("tokens_sha256"))
 
 
 @register("txt_11_number_mask", r"SELECT doc_id AS study, sha256(regexp_replace(text, '\b[0-9]+([.,][0-9]+)*\b', '<num>', 'g')) AS masked_sha256 FROM documents WHERE NOT regexp_matches(text, '[0-9][\p{L}_]|[\p{L}_][0-9]')")
@@ -164,7 +170,7 @@ def agg_14(spark, d):
 
 @register("agg_21_duplicate_groups", f"WITH n AS (SELECT doc_id, sha256({NORM_SQL}) AS h FROM documents) SELECT h AS family, count(*) AS n, min(doc_id) AS first_key FROM n GROUP BY h HAVING count(*) > 1")
 def agg_21(spark, d):
-    return P.duplicate_groups(docs(spark, d).withColumn("family", X.sha256(NORM)), "study", "family")
+    return P.duplicate_groups(docs(spark, d).withColumn("family", X.sha256(norm())), "study", "family")
 
 
 @register("agg_21_duplicate_summary", "WITH s AS (SELECT text, count(*) AS n FROM documents GROUP BY text) SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_distinct, CAST(sum(n - 1) AS BIGINT) AS excess, count(*) FILTER (n > 1) AS n_groups, max(n) AS largest FROM s")
@@ -199,8 +205,8 @@ def agg_56(spark, d):
     from reportmill.operators.metrics import log_lift
 
     texts = docs(spark, d)
-    words = texts.select((F.col("lang") == "en").alias("en"), F.explode(F.array_distinct(WORDS)).alias("word"))
-    c = words.groupBy("word").agg(F.count_if("en").alias("c_en"), F.count_if(~F.col("en")).alias("c_other")).where("c_en + c_other >= 5")
+    found = texts.select((F.col("lang") == "en").alias("en"), F.explode(F.array_distinct(words())).alias("word"))
+    c = found.groupBy("word").agg(F.count_if("en").alias("c_en"), F.count_if(~F.col("en")).alias("c_other")).where("c_en + c_other >= 5")
     n = texts.agg(F.count_if(F.col("lang") == "en").alias("a"), F.count_if(F.col("lang") != "en").alias("b"))
     out = log_lift(c.join(F.broadcast(n)), F.col("c_en"), F.col("a"), F.col("c_other"), F.col("b"))
     return out.select("word", "c_en", "c_other", F.round("lift", 9).alias("lift"))
