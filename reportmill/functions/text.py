@@ -41,7 +41,7 @@ def fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
             gone.append(ch)
         elif len(plain) == 1:
             one.append((ch, plain))
-        elif code < 0x530 or 0xFB00 <= code < 0xFB10:
+        elif code < 0x530 or 0x2100 <= code < 0x2190 or 0xFB00 <= code < 0xFB10:
             longer.append((ch, plain))
     source = "".join(a for a, _ in one) + "".join(gone)
     return source, "".join(b for _, b in one), tuple(longer)

@@ -25,4 +25,4 @@ def label_reports(spark: SparkSession, source: str, schema: str, sink: str, chec
 
 def windowed_counts(events: DataFrame, at: str = "ts", by: str = "event_type", width: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """Counts by window and kind; rows later than the watermark no longer count."""
-    return events.withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), by, "n")
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), by, "n")

@@ -30,5 +30,5 @@ def test_windowed_counts(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events"))
     stream = incremental.windowed_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "events")))
     stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    want = events.groupBy(F.window("ts", "1 hour").getField("start").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    want = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").getField("start").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     assert spark.table("windows").exceptAll(want).count() == 0 and spark.table("windows").count() == want.count()
