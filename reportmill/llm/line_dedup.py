@@ -25,6 +25,8 @@ gives an empty table.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -47,8 +49,13 @@ def signed(h: int) -> int:
 
 
 def line_hash(line: str) -> int:
-    """The same number as Spark's xxhash64."""
-    return signed(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42))
+    """The same number as :func:`class_hash`."""
+    return signed(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)) & ~1
+
+
+def class_hash(line: Column) -> Column:
+    """63 bits of a line's hash; the lowest bit is free to mark probes."""
+    return F.xxhash64(line).bitwiseAND(F.lit(~1))
 
 
 def segments(length: int, tau: int = DISTANCE) -> list[tuple[int, int]]:
@@ -62,22 +69,29 @@ def segments(length: int, tau: int = DISTANCE) -> list[tuple[int, int]]:
     return out
 
 
-def keys(line: str, tau: int = DISTANCE) -> tuple[list[int], list[int]]:
-    """(index keys, probe keys) of a line."""
-    n, digest = len(line), xxhash.xxh64_intdigest
-
-    def key(length: int, i: int, part: str) -> int:
-        return signed(digest(part.encode("utf-8", "surrogatepass"), seed=length * (tau + 1) + i))
-
-    index = [key(n, i, line[at : at + size]) for i, (at, size) in enumerate(segments(n, tau))]
+@lru_cache(maxsize=65536)
+def places(n: int, tau: int = DISTANCE) -> tuple[tuple[tuple[int, int, int], ...], tuple[tuple[int, int, int], ...]]:
+    """(seed, start, end) of the index segments and of the probed substrings of a line of n characters."""
+    index = tuple((n * (tau + 1) + i, at, at + size) for i, (at, size) in enumerate(segments(n, tau)))
     probes = []
     for length in range(max(n - tau, tau + 1), n + 1):
         delta = n - length
         for i, (at, size) in enumerate(segments(length, tau)):
             low = max(0, at - i, at + delta - (tau - i))
             high = min(n - size, at + i, at + delta + (tau - i))
-            probes += [key(length, i, line[p : p + size]) for p in range(low, high + 1)]
-    return index, probes
+            probes += [(length * (tau + 1) + i, p, p + size) for p in range(low, high + 1)]
+    return index, tuple(probes)
+
+
+def keys(line: str, tau: int = DISTANCE) -> tuple[list[int], list[int]]:
+    """(index keys, probe keys) of a line, unsigned."""
+    index, probes = places(len(line), tau)
+    digest = xxhash.xxh64_intdigest
+    raw = line.encode("utf-8", "surrogatepass")
+    if len(raw) == len(line):
+        return [digest(raw[a:b], s) for s, a, b in index], [digest(raw[a:b], s) for s, a, b in probes]
+    part = lambda s, a, b: digest(line[a:b].encode("utf-8", "surrogatepass"), s)
+    return [part(*x) for x in index], [part(*x) for x in probes]
 
 
 def _plain(a: str, b: str) -> int:
@@ -149,7 +163,7 @@ def occurrences(docs: DataFrame, text: str, key: str, min_chars: int) -> DataFra
         col(key), F.xxhash64(t).alias("th"), F.length(t).alias("chars"), F.posexplode(F.split(t, "\n", -1)).alias("no", "line")
     )
     lines = lines.where((F.length("line") >= min_chars) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return lines.select(F.xxhash64("line").alias("h"), F.length("line").alias("len"), _place(key).alias("place"), "chars")
+    return lines.select(class_hash(F.col("line")).alias("h"), F.length("line").alias("len"), _place(key).alias("place"), "chars")
 
 
 def _bit_map(spark, hashes: DataFrame):
@@ -169,24 +183,54 @@ def _is_set(bits: bytes, h: int) -> int:
 
 
 def _keyed(docs: DataFrame, text: str, min_chars: int, tau: int) -> DataFrame:
-    """(key, probe, h, len): the index and probe keys of all lines, of equal lines in a batch once."""
+    """(key, c): index and probe keys of all lines, of equal lines in a batch once; the lowest bit of c marks probes."""
 
     def work(it):
         for pdf in it:
             lines = {x for t in pdf["t"] if t for x in t.split("\n") if len(x) >= min_chars and not x.isspace()}
-            key, probe, h, size = [], [], [], []
+            key: list[int] = []
+            owner, counts = [], []
             for x in lines:
                 index, probes = keys(x, tau)
-                key += index + probes
-                probe += [False] * len(index) + [True] * len(probes)
-                h += [line_hash(x)] * (len(index) + len(probes))
-                size += [len(x)] * (len(index) + len(probes))
-                if len(key) > 200_000:
-                    yield pd.DataFrame({"key": key, "probe": probe, "h": h, "len": size})
-                    key, probe, h, size = [], [], [], []
-            yield pd.DataFrame({"key": key, "probe": probe, "h": h, "len": size})
+                key += index
+                key += probes
+                owner.append(line_hash(x))
+                counts.append((len(index), len(probes)))
+            n = np.array(counts, np.int64).reshape(-1, 2)
+            sides = np.tile(np.array([0, 1]), len(n))
+            c = np.repeat(np.array(owner, np.int64), n.sum(axis=1)) | np.repeat(sides, n.ravel())
+            yield pd.DataFrame({"key": np.array(key, np.uint64).view(np.int64), "c": c})
+
+    return docs.select(col(text).alias("t")).mapInPandas(work, "key long, c long")
+
+
+def _meeting(it):
+    """Rows of the keys that the index of one class and another class share. Rows come by key, index first.
 
-    return docs.select(col(text).alias("t")).mapInPandas(work, "key long, probe boolean, h long, len int")
+    Of a run that goes on in the next batch only its state is kept: to skip (no index), to keep (two
+    classes have met), or the row or two of its only class so far.
+    """
+    open_key, mode, held = None, "", []
+    for pdf in it:
+        key, c = pdf["key"].to_numpy(), pdf["c"].to_numpy()
+        if not len(key):
+            continue
+        if mode == "hold" and held:
+            key, c = np.concatenate([np.full(len(held), open_key), key]), np.concatenate([np.array(held, np.int64), c])
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        cls = c & ~1
+        met = ((c[starts] & 1) == 0) & (np.maximum.reduceat(cls, starts) != np.minimum.reduceat(cls, starts))
+        if open_key is not None and key[0] == open_key and mode != "hold":
+            met[0] = mode == "keep"
+        last = starts[-1]
+        if len(starts) == 1 and open_key is not None and key[0] == open_key and mode != "hold":
+            pass  # the same run goes on in the same mode
+        else:
+            open_key = key[last]
+            mode = "keep" if met[-1] else "hold" if (c[last] & 1) == 0 else "skip"
+            held = sorted(set(c[last:].tolist()), key=lambda x: x & 1) if mode == "hold" else []
+        keep = np.repeat(met, np.diff(np.r_[starts, len(key)]))
+        yield pd.DataFrame({"key": key[keep], "c": c[keep]})
 
 
 def _texts(docs: DataFrame, text: str, bits) -> DataFrame:
@@ -243,17 +287,13 @@ def _verified(it, tau: int):
 def linked_classes(docs: DataFrame, classes: DataFrame, *, text: str, min_chars: int, tau: int) -> DataFrame:
     """(h, len, place): for each class with an earlier linked class the place of the earliest found for it."""
     spark = docs.sparkSession
-    keyed = materialize(_keyed(docs, text, min_chars, tau).distinct(), "line-keys")
-    # a key matters where a probe meets the index of another class
-    seen = keyed.groupBy("key").agg(
-        F.max("probe").alias("p"), F.min("probe").alias("i"), F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("n")
-    )
-    shared = seen.where("p AND NOT i AND low != high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    met = materialize(_join(keyed, shared, "key"), "line-candidates")
-    texts = _texts(docs, text, _bit_map(spark, met)).groupBy("h", "len").agg(F.first("line").alias("line"))
+    dealt = _keyed(docs, text, min_chars, tau).repartition("key").sortWithinPartitions("key", F.col("c").bitwiseAND(F.lit(1)))
+    met = dealt.mapInPandas(_meeting, "key long, c long").distinct()
+    met = materialize(met.select("key", F.col("c").bitwiseAND(F.lit(~1)).alias("h"), (F.col("c").bitwiseAND(F.lit(1)) == 1).alias("probe")), "line-candidates")
+    shared = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    texts = _texts(docs, text, _bit_map(spark, met.select("h"))).groupBy("h", "len").agg(F.first("line").alias("line"))
     known = classes.select("h", "len", *[F.col(f"place.{c}").alias(c) for c in PLACE]).join(texts, ["h", "len"])
-    full = met.join(known, ["h", "len"])
-    full = full.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    full = _join(met, shared, "key").join(known, "h").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "probe", "h", "len", "line", *PLACE)
     dealt = full.repartition(*RUN).sortWithinPartitions(*RUN)
@@ -286,12 +326,12 @@ def dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", dropped:
     spark = docs.sparkSession
     gone = materialize(duplicates(docs, text=text, key=key, **options), "line-drops")
     bits = _bit_map(spark, gone.select(F.col("th").alias("h")))
-    (th, nos) = fresh(docs, "text_hash", "line_nos")
+    th, nos, same_id, same_hash = fresh(docs, "text_hash", "line_nos", "drop_id", "drop_hash")
     touched = F.pandas_udf(lambda s: s.map(lambda h: bool(_is_set(bits.value, h))).astype(bool), "boolean")
     hashed = docs.withColumn(th, F.xxhash64(col(text)))
     some, rest = hashed.where(touched(col(th))), hashed.where(~touched(col(th)))
-    drops = gone.select(F.col("d"), F.col("th").alias("drop_th"), F.col("nos").alias(nos))
-    joined = some.join(drops, col(key).eqNullSafe(F.col("d")) & (col(th) == F.col("drop_th")), "left").drop("d", "drop_th")
+    drops = gone.select(F.col("d").alias(same_id), F.col("th").alias(same_hash), F.col("nos").alias(nos))
+    joined = some.join(drops, col(key).eqNullSafe(col(same_id)) & (col(th) == col(same_hash)), "left")
     lines = F.split(col(text), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), col(nos))
     body = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
