@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\u000b\f\r"
 
 #: Rows in an Arrow batch: texts may be long, and a batch is held whole by a Python worker and its JVM.
-BATCH_ROWS = 1000
+BATCH_ROWS = 4000
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportmill.llm.common import col, documents, fresh, materialize
+from reportmill.llm.common import col, documents, fresh, let, materialize
 from reportmill.llm.components import _join
 
 MIN_CHARS = 30
@@ -79,8 +79,8 @@ def places(n: int, tau: int = DISTANCE) -> tuple[tuple[tuple[int, int, int], ...
         for i, (at, size) in enumerate(segments(length, tau)):
             low = max(0, at - i, at + delta - (tau - i))
             high = min(n - size, at + i, at + delta + (tau - i))
-            probes += [(length * (tau + 1) + i, p, p + size) for p in range(low, high + 1)]
-    return index, tuple(probes)
+            probes += [(length * (tau + 1) + i, p, p + size) for p in range(low, high + 1) if delta or p != at]
+    return index, tuple(probes)  # a line's own segments are index keys already
 
 
 def keys(line: str, tau: int = DISTANCE) -> tuple[list[int], list[int]]:
@@ -259,7 +259,7 @@ def _verified(it, tau: int):
         lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
         best: dict[int, int] = {}
         index = np.flatnonzero(~probe)
-        for i in np.flatnonzero(probe):
+        for i in range(len(h)):
             near = index[np.abs(counts[index] - counts[i]).sum(axis=1) <= 2 * tau]
             if lo != hi:
                 near = near[block[near] != block[i]]
@@ -332,9 +332,8 @@ def dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", dropped:
     some, rest = hashed.where(touched(col(th))), hashed.where(~touched(col(th)))
     drops = gone.select(F.col("d").alias(same_id), F.col("th").alias(same_hash), F.col("nos").alias(nos))
     joined = some.join(drops, col(key).eqNullSafe(col(same_id)) & (col(th) == col(same_hash)), "left")
-    lines = F.split(col(text), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), col(nos))
-    body = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), col(nos))
+    body = let(F.split(col(text), "\n", -1), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))
     clean = F.when(col(nos).isNull(), col(text)).otherwise(body)
     out = [clean.alias(c) if c == text else col(c) for c in docs.columns]
     more = [F.coalesce(F.size(nos), F.lit(0)).cast("long").alias(dropped)] if dropped else []
