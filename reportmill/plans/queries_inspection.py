@@ -160,7 +160,7 @@ def txt_22(spark, d):
     return rows.where("again IS NOT NULL").select("target", "status").distinct()
 
 
-@register("txt_26_uncertainty_markers", f"WITH {GOLD_SQL} SELECT DISTINCT study, 'possible' AS marker FROM gold WHERE status = 'uncertain'")
+@register("txt_26_uncertainty_markers", f"WITH {GOLD_SQL} SELECT study, m AS marker FROM reports, (VALUES ('possible'), ('suspected')) v(m) WHERE contains(lower(report), m)")
 def txt_26(spark, d):
     rows = reports(spark, d).select("study", F.explode(I.uncertainty_markers(X.normalize(F.col("report")))).alias("marker"))
     return rows.where(F.col("marker") != I.DEFAULT_MARKER)
