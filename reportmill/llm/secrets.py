@@ -1,7 +1,7 @@
 """Secret scans by a recursive decoding worklist.
 
 A text is a first layer. Each layer is scanned for secrets, and every encoded part of it is unwrapped
-into a new layer: URL escapes, Unicode escapes (``\\uXXXX``, ``\\xXX``, ``&#NN;``), base64 (plain or
+into a new layer: URL escapes, Unicode escapes (``\\uXXXX``, ``\\u{X}``, ``\\UXXXXXXXX``, ``\\xXX``, ``&#NN;``), base64 (plain or
 URL-safe) and, inside base64, gzip or zlib streams. New layers are scanned and unwrapped in turn until
 none is left. A layer that was seen before for the same place is not entered again, so cycles end.
 Each character of a layer knows the range of the original text that it comes from, so a secret found
@@ -41,7 +41,10 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 URL_PART = re.compile(r"[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
 URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6})\}?|\\x([0-9A-Fa-f]{2})|&#(\d{1,7}|[xX][0-9A-Fa-f]{1,6});")
+ESCAPE = re.compile(
+    r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})"  # a surrogate pair
+    r"|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7}|[xX][0-9A-Fa-f]{1,6});"
+)
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAX_LAYER = 64 << 20
 
@@ -94,7 +97,10 @@ def _escapes(text: str):
     if "\\" in text or "&#" in text:
         for m in ESCAPE.finditer(text):
             try:
-                c = html.unescape(m[0]) if m[3] else chr(int(m[1] or m[2], 16))
+                if m[1]:
+                    c = chr(0x10000 + ((int(m[1], 16) & 0x3FF) << 10 | int(m[2], 16) & 0x3FF))
+                else:
+                    c = html.unescape(m[0]) if m[7] else chr(int(m[3] or m[4] or m[5] or m[6], 16))
             except (ValueError, OverflowError):
                 continue
             if not 0xD800 <= ord(c[0]) < 0xE000:

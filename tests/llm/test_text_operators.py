@@ -78,6 +78,12 @@ def test_mapped_span_is_exact():
     assert text.index("YWJj") == 4 and a >= 8 and KEY.encode() in base64.b64decode(text[a:b])
 
 
+@pytest.mark.parametrize("text", ["password\\u003dabc123def", "token\\u003d9f8e7d6c", "\\u0070assword=abcdef", "token\\u{3d}9f8e7d6c", "token\\U0000003d9f8e7d6c", "\\ud83d\\ude00 token\\x3d9f8e7d6c"])
+def test_escape_before_a_hex_digit(text):
+    assert [(text[a:b], k) for a, b, k in spans(text)] == [(text[text.find("token") :] if "token" in text else text, 0)]
+    assert secrets._escapes("\\ud83d\\ude00a")[0] == (0, 12, "\U0001f600")
+
+
 def test_secret_query(spark):
     texts = [f"token={'a' * 10}", None, "", f"x {KEY} " + wrap("base64", f"pass {KEY} word"), "z" * 200_000]
     found = secrets.scan_secrets(docs_of(spark, texts)).select("doc_id", "secrets.*").collect()
