@@ -2,7 +2,8 @@
 
 A text is a first layer. Each layer is scanned for secrets, and every encoded part of it is unwrapped
 into a new layer: URL escapes, Unicode escapes (``\\uXXXX``, ``\\u{X}``, ``\\UXXXXXXXX``, ``\\xXX``, ``&#NN;``), base64 (plain or
-URL-safe) and, inside base64, gzip or zlib streams. New layers are scanned and unwrapped in turn until
+URL-safe, from each of the four places where a run's first group may begin) and, inside base64, gzip
+or zlib streams, one inside or after another too. New layers are scanned and unwrapped in turn until
 none is left. A layer that was seen before for the same place is not entered again, so cycles end.
 Each character of a layer knows the range of the original text that it comes from, so a secret found
 deep down is reported at the place of the original that holds it.
@@ -11,15 +12,14 @@ Kinds: ``assign`` (a named value), ``access`` (an access key id), ``hex`` (a lon
 Matches are leftmost and do not overlap within a kind and a layer.
 
 Defined results: null and empty texts have no spans; texts are read whole; repeated rows get equal
-results; a layer that is not text once decoded (bytes that are not UTF-8 or mostly unprintable) holds
-no secrets. A compressed stream is unpacked up to ``MAX_LAYER`` bytes, which guards a worker's memory
+results; of a layer that is not text once decoded (bytes that are not UTF-8 or mostly unprintable) the
+stretches of 12 printable characters and more are read. A compressed stream is unpacked up to ``MAX_LAYER`` bytes, which guards a worker's memory
 against streams made to explode; a document in which that happened is marked ``over_limit``.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import html
 import re
@@ -46,7 +46,14 @@ ESCAPE = re.compile(
     r"|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7}|[xX][0-9A-Fa-f]{1,6});"
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Where a compressed stream may begin inside other bytes, and text of the least length of a secret.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+STRETCH = re.compile(
+    rb"(?:[\t\n\r -~]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}"
+)
 MAX_LAYER = 64 << 20
+PIECE = 1 << 16
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -71,16 +78,57 @@ def _text(raw: bytes) -> str | None:
     return s if s and 10 * good >= 9 * len(s) else None
 
 
-def _unpack(raw: bytes) -> tuple[bytes | None, bool]:
-    """(content of a gzip or zlib stream, whether it was over the limit)."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        return None, False
-    try:
-        d = zlib.decompressobj(zlib.MAX_WBITS | 32)
-        out = d.decompress(raw, MAX_LAYER)
-        return out, bool(d.unconsumed_tail)
-    except zlib.error:
-        return None, False
+def _unpack(raw: bytes, at: int) -> tuple[bytes, int, bool]:
+    """(content of the gzip or zlib streams from a place on, one directly after another, end, whether it was over the limit)."""
+    parts, size, end = [], 0, at
+    while raw[end : end + 2] == b"\x1f\x8b" or (len(raw) > end + 2 and raw[end] & 15 == 8 and (raw[end] * 256 + raw[end + 1]) % 31 == 0):
+        d, here, got = zlib.decompressobj(zlib.MAX_WBITS | 32), end, 0
+        try:
+            while not d.eof and here < len(raw):
+                if size >= MAX_LAYER:
+                    return b"".join(parts), len(raw), True
+                part = raw[here : here + PIECE]
+                out = d.decompress(part, MAX_LAYER - size)
+                here += len(part)
+                parts.append(out)
+                size, got = size + len(out), got + len(out)
+                if d.unconsumed_tail:
+                    return b"".join(parts), len(raw), True
+        except zlib.error:
+            if got:
+                end = here
+            break
+        if not got and not d.eof:
+            break
+        end = here - len(d.unused_data)
+    return b"".join(parts), end, False
+
+
+def _byte_layers(raw: bytes):
+    """Texts in bytes: (text, first byte, byte after or None where each character has its own bytes, over the limit).
+
+    Streams are unpacked until nothing is compressed, from any place on; bytes that are not text as a whole hold text in stretches.
+    """
+    todo, seen = [(raw, None)], set()
+    while todo:
+        now, place = todo.pop()
+        mark = hashlib.sha256(now).digest()
+        if mark in seen:
+            continue
+        seen.add(mark)
+        whole = _text(now)
+        for first, s in [(0, whole)] if whole is not None else ((m.start(), m[0].decode()) for m in STRETCH.finditer(now)):
+            yield (s, first, None, False) if place is None else (s, *place, False)
+        at = 0
+        for start in (0, *(m.start() for m in PACKED.finditer(now))):
+            if start < at:
+                continue
+            content, end, over = _unpack(now, start)
+            if content or over:
+                at, inside = max(end, at), place or (start, end)
+                todo.append((content, inside))
+                if over:
+                    yield "", *inside, True
 
 
 def _escapes(text: str):
@@ -125,24 +173,23 @@ def _layers(text: str):
         yield "".join(parts), starts, ends, False
     for m in BASE64.finditer(text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1 or body.isalpha() and (body.islower() or body.isupper()):
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
+        if body.isalpha() and (body.islower() or body.isupper()):
             continue
-        packed, over = _unpack(raw)
-        if packed is not None:
-            if (s := _text(packed)) is not None:
-                yield s, [m.start()] * len(s), [m.end()] * len(s), over
-        elif (s := _text(raw)) is not None:
-            starts, ends, at = [], [], 0
-            for c in s:
-                n = len(c.encode())
-                starts.append(m.start() + at // 3 * 4)
-                ends.append(min(m.end(), m.start() + (at + n + 2) // 3 * 4))
-                at += n
-            yield s, starts, ends, over
+        for off in range(4):  # what is glued to the front moves the start
+            part = body[off : len(body) - ((len(body) - off) % 4 == 1)]
+            raw, origin = base64.b64decode(part + "=" * (-len(part) % 4)), m.start() + off
+            for s, first, last, over in _byte_layers(raw):
+                if last is not None:
+                    lo, hi = origin + first // 3 * 4, min(m.end(), origin + (last + 2) // 3 * 4)
+                    yield s, [lo] * len(s), [hi] * len(s), over
+                    continue
+                starts, ends, at = [], [], first
+                for c in s:
+                    n = len(c.encode())
+                    starts.append(origin + at // 3 * 4)
+                    ends.append(min(m.end(), origin + (at + n + 2) // 3 * 4))
+                    at += n
+                yield s, starts, ends, over
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, bool]:

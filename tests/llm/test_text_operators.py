@@ -84,6 +84,34 @@ def test_escape_before_a_hex_digit(text):
     assert secrets._escapes("\\ud83d\\ude00a")[0] == (0, 12, "\U0001f600")
 
 
+def b64(raw):
+    return base64.b64encode(raw).decode()
+
+
+def test_streams_to_a_fixpoint():
+    import zlib
+
+    plain = f"a secret: {KEY} end".encode()
+    packed = {
+        "gzip in gzip": gzip.compress(gzip.compress(plain)), "zlib in gzip": gzip.compress(zlib.compress(plain)), "later member": gzip.compress(b"first part") + gzip.compress(plain),
+        "over members": gzip.compress(plain[:15]) + gzip.compress(plain[15:]), "after a stream": gzip.compress(b"x" * 50) + plain, "among bytes": bytes(range(128, 160)) + zlib.compress(plain),
+        "zlib twice after gzip": gzip.compress(zlib.compress(b"no") + zlib.compress(zlib.compress(plain))),
+    }
+    for name, raw in packed.items():
+        text = f"see {b64(raw)} end"
+        found = [(a, b) for a, b, k in spans(text) if k == 1]
+        assert found and all(4 <= a < b <= len(text) - 4 for a, b in found), name
+    assert secrets.find("see " + b64(gzip.compress(gzip.compress(b"nothing here to see at all"))))[1] == []
+
+
+@pytest.mark.parametrize("glue", ["/v1/x/", "key-", "a", "ab", "abc", "/", "path/to_a-"])
+def test_base64_glued_to_other_characters(glue):
+    for raw in (f"my token: abcdef {KEY} ok".encode(), gzip.compress(f"my {KEY} ok".encode())):
+        for tail in ("", "/tail", "-z"):
+            text = f"get {glue}{b64(raw).rstrip('=')}{tail} now"
+            assert any(k == 1 and a >= 4 and b <= len(text) - 4 for a, b, k in spans(text)), (glue, tail)
+
+
 def test_secret_query(spark):
     texts = [f"token={'a' * 10}", None, "", f"x {KEY} " + wrap("base64", f"pass {KEY} word"), "z" * 200_000]
     found = secrets.scan_secrets(docs_of(spark, texts)).select("doc_id", "secrets.*").collect()
