@@ -259,6 +259,31 @@ def test_simhash_large_bucket(spark, monkeypatch):
     assert roots(len(fps), [(at[a], at[b]) for a, b in edges]) == want
 
 
+def word_sets(text, width=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(len(words) - width, 0) + 1)} if words else set()
+
+
+def replaced(r, text, k):
+    words = text.split()
+    for i in r.sample(range(len(words)), k):
+        words[i] = f"new{r.randint(0, 9999)}"
+    return " ".join(words)
+
+
+def test_near_copies_by_similarity(spark):
+    r = random.Random(12)
+    base = [" ".join(f"w{r.randint(0, 999)}" for _ in range(300)) for _ in range(30)]
+    texts = [*base, *(replaced(r, t, k) for t in base for k in (1, 3, 5, 6, 7, 9, 20)), "One two", "one TWO", "one two three", None, "", " "]
+    texts += [" ".join(base[0].split()[:200] + base[i].split()[:100]) for i in range(1, 12)]  # a shared passage, no near copies
+    sets = [word_sets(t) for t in texts]
+    n = len(texts)
+    near = [(i, j) for i in range(n) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    kept = sorted(x["doc_id"] for x in corpus_pipeline.simhash_stage(spark, docs_of(spark, texts), "").collect())
+    assert kept == sorted(set(roots(n, near)))
+    assert corpus_pipeline.simhash_stage(spark, docs_of(spark, texts).limit(0), "").count() == 0
+
+
 # --- line dedup
 
 
