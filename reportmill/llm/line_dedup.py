@@ -9,7 +9,8 @@ allows. Two linked lines share at least one such key. What shares a key is verif
 of characters in 8 classes, then by a bit-parallel edit distance.
 
 An occurrence is a duplicate when its class, or a class linked with it, occurs earlier (by document id,
-null last, then line). Repeats inside a document always go. Across documents a duplicate goes as well,
+null last, then line). Repeats inside a document always go: every line that an equal or linked one stands
+before in its own document, wherever their class occurs first. Across documents a duplicate goes as well,
 with one exception: where a single earlier document holds more than half of a document's characters,
 the document is a copy of that one, and its lines from there stay, so that document-level dedup can
 judge the copy whole (and finds it equal to the original, which loses the same other lines).
@@ -148,6 +149,38 @@ def character_counts(line: str) -> np.ndarray:
     return np.bincount((points * np.uint32(2654435761) >> np.uint32(29)).astype(int), minlength=8)
 
 
+#: Up to so many different lines of a text are compared one by one, more by their keys.
+FEW_LINES = 64
+
+
+def repeats(text: str, min_chars: int = MIN_CHARS, tau: int = DISTANCE) -> list[int]:
+    """Numbers of the compared lines that an equal or linked line stands before in the same text."""
+    lines = [(k, x) for k, x in enumerate(text.split("\n")) if len(x) >= min_chars and not x.isspace()]
+    if len(lines) < 2:
+        return []
+    few = len({x for _, x in lines}) <= FEW_LINES
+    out, known, by_length, indexed, probed = [], set(), {}, {}, {}
+    for k, x in lines:
+        if x in known:
+            out.append(k)
+            continue
+        if few:
+            near = [y for n in range(len(x) - tau, len(x) + tau + 1) for y in by_length.get(n, ())]
+            by_length.setdefault(len(x), []).append(x)
+        else:
+            index, probes = keys(x, tau)
+            near = dict.fromkeys(y for key in index + probes for y in indexed.get(key, ()))
+            near |= dict.fromkeys(y for key in index for y in probed.get(key, ()))
+            for key in index:
+                indexed.setdefault(key, []).append(x)
+            for key in probes:
+                probed.setdefault(key, []).append(x)
+        known.add(x)
+        if any(within(x, y, tau) for y in near):
+            out.append(k)
+    return out
+
+
 # --- tables
 
 
@@ -317,7 +350,9 @@ def duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_
     by_source = later.groupBy(
         F.col("place.d").alias("d"), F.col("place.th").alias("th"), F.col("source.d").alias("sd"), F.col("source.th").alias("sth"), inside.alias("inside")
     ).agg(F.sum("len").alias("held"), F.max("chars").alias("chars"), F.collect_set("place.no").alias("nos"))
-    gone = by_source.where(F.col("inside") | (F.col("held") <= F.col("chars") * copy_share))
+    again = F.pandas_udf(lambda s: s.map(lambda t: repeats(t, min_chars, tau)), "array<int>").asNondeterministic()  # evaluated once, not again by the filter
+    own = docs.where(col(text).isNotNull()).select(col(key).alias("d"), F.xxhash64(col(text)).alias("th"), again(col(text)).alias("nos")).where(F.size("nos") > 0)
+    gone = by_source.where(F.col("inside") | (F.col("held") <= F.col("chars") * copy_share)).select("d", "th", "nos").unionByName(own)
     return gone.groupBy("d", "th").agg(F.array_distinct(F.flatten(F.collect_list("nos"))).alias("nos"))
 
 

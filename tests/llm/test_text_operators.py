@@ -388,6 +388,30 @@ def test_hot_line(spark):
     assert kept[0] == texts[0] and all(common not in t for t in kept[1:])
 
 
+@pytest.mark.parametrize("few", [64, 0])
+def test_repeats_inside_a_text(monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW_LINES", few)
+    r = random.Random(13)
+    for _ in range(60):
+        lines = [" ".join(r.choice(["red", "green", "blue"]) + str(r.randint(0, 9999)) for _ in range(r.randint(3, 6))) for _ in range(8)]
+        lines += [edited(r, r.choice(lines), r.randint(0, 4)) for _ in range(8)] + ["short", " " * 40]
+        r.shuffle(lines)
+        long = [(k, x) for k, x in enumerate(lines) if len(x) >= 30 and x.strip()]
+        want = [k for k, x in long if any(j < k and line_dedup._plain(x, y) <= 2 for j, y in long)]
+        assert line_dedup.repeats("\n".join(lines)) == want
+
+
+def test_copy_of_a_text_with_a_repeated_line(spark):
+    r = random.Random(14)
+    line = lambda: " ".join(f"word{r.randint(0, 99999)}" for _ in range(12))
+    a, b = line(), line()
+    text = f"{a}\n{b}\n{a}\n{edited(r, b, 2)}"
+    clean = line_dedup.dedup(docs_of(spark, [text, line(), text, text]), dropped="n_dropped").orderBy("doc_id").collect()
+    assert [x["text"] for x in clean if x["doc_id"] != 1] == [f"{a}\n{b}"] * 3
+    kept = simhash.keep_one(corpus_pipeline.line_stage(spark, docs_of(spark, [text, line(), text, text]), ""))
+    assert sorted(x["doc_id"] for x in kept.collect()) == [0, 1]
+
+
 # --- classifiers
 
 
