@@ -13,7 +13,10 @@ null last, then line). Repeats inside a document always go: every line that an e
 before in its own document, wherever their class occurs first. Across documents a duplicate goes as well,
 with one exception: where a single earlier document holds more than half of a document's characters,
 the document is a copy of that one, and its lines from there stay, so that document-level dedup can
-judge the copy whole (and finds it equal to the original, which loses the same other lines).
+judge the copy whole (and finds it equal to the original, which loses the same other lines). With
+``similarity`` that is only so where the document-level criterion holds: what stays of the document and
+of that earlier one has at least this Jaccard coefficient of sets of ``words`` word shingles. All other
+documents lose their duplicate lines.
 
 Equal lines count once before anything is compared. A key with many classes is cut into blocks, and a
 pair of blocks returns for each class only its earliest linked class, so no task gets a whole key and
@@ -36,10 +39,13 @@ from pyspark.sql import functions as F
 
 from reportmill.llm.common import col, documents, fresh, let, materialize
 from reportmill.llm.components import _join
+from reportmill.llm.simhash import shingles
 
 MIN_CHARS = 30
 DISTANCE = 2
 COPY_SHARE = 0.5
+#: The criterion of document-level dedup (shingle width, Jaccard coefficient) for what counts as a copy.
+COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 BLOCK = 512
 #: Bits of the maps that pick lines and documents before they are dealt: 1 MB each.
 MAP_BITS = 1 << 23
@@ -336,7 +342,35 @@ def linked_classes(docs: DataFrame, classes: DataFrame, *, text: str, min_chars:
     return pairs.join(first, ["h2", "len2"]).groupBy("h", "len").agg(F.min("place").alias("place"))
 
 
-def duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS, tau: int = DISTANCE, copy_share: float = COPY_SHARE) -> DataFrame:
+def _numbers(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("d", "th").agg(F.array_distinct(F.flatten(F.collect_list("nos"))).alias("nos"))
+
+
+def true_copies(docs: DataFrame, held: DataFrame, gone: DataFrame, *, text: str, key: str, similarity: float, words: int) -> DataFrame:
+    """(u): the documents of held (d, th, sd, sth) that are as similar to their source, after the drops of gone."""
+    ident = lambda d, th: F.xxhash64(d, th)
+    pairs = held.select(ident("d", "th").alias("u"), ident("sd", "sth").alias("v"))
+    some = pairs.select("u").union(pairs.select("v")).distinct()
+    drops = _numbers(gone).select(ident("d", "th").alias("u"), "nos")
+    own = docs.where(col(text).isNotNull()).select(ident(col(key), F.xxhash64(col(text))).alias("u"), col(text).alias("t"))
+    own = own.join(some, "u").groupBy("u").agg(F.first("t").alias("t")).join(drops, "u", "left")
+
+    def whole(t: pd.Series, nos: pd.Series) -> pd.Series:
+        out = []
+        for x, n in zip(t, nos, strict=True):
+            gone = set() if n is None else set(n.tolist())
+            out.append(shingles("\n".join(y for k, y in enumerate(x.split("\n")) if k not in gone), words).view(np.int64))
+        return pd.Series(out, dtype=object)
+
+    sets = materialize(own.select("u", F.pandas_udf(whole, "array<long>")("t", "nos").alias("set")), "copy-sets")
+    both = _join(_join(pairs, sets.toDF("u", "su"), "u"), sets.toDF("v", "sv"), "v").withColumn("same", F.size(F.array_intersect("su", "sv")))
+    return both.where(F.col("same") / (F.size("su") + F.size("sv") - F.col("same")) >= similarity).select("u").distinct()
+
+
+def duplicates(
+    docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS, tau: int = DISTANCE, copy_share: float = COPY_SHARE,
+    similarity: float | None = None, words: int = COPY_WORDS,
+) -> DataFrame:
     """(d, th, nos): for each document with duplicate lines their numbers, from 0."""
     rows = occurrences(docs, text, key, min_chars)
     classes = rows.groupBy("h", "len").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
@@ -352,8 +386,14 @@ def duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_
     ).agg(F.sum("len").alias("held"), F.max("chars").alias("chars"), F.collect_set("place.no").alias("nos"))
     again = F.pandas_udf(lambda s: s.map(lambda t: repeats(t, min_chars, tau)), "array<int>").asNondeterministic()  # evaluated once, not again by the filter
     own = docs.where(col(text).isNotNull()).select(col(key).alias("d"), F.xxhash64(col(text)).alias("th"), again(col(text)).alias("nos")).where(F.size("nos") > 0)
-    gone = by_source.where(F.col("inside") | (F.col("held") <= F.col("chars") * copy_share)).select("d", "th", "nos").unionByName(own)
-    return gone.groupBy("d", "th").agg(F.array_distinct(F.flatten(F.collect_list("nos"))).alias("nos"))
+    copied = ~F.col("inside") & (F.col("held") > F.col("chars") * copy_share)
+    if similarity is None:
+        return _numbers(by_source.where(~copied).select("d", "th", "nos").unionByName(own))
+    by_source, own = materialize(by_source, "line-sources"), materialize(own, "line-repeats")
+    held, gone = by_source.where(copied), by_source.where(~copied).select("d", "th", "nos").unionByName(own)
+    true = true_copies(docs, held, gone, text=text, key=key, similarity=similarity, words=words)
+    more = held.withColumn("u", F.xxhash64("d", "th")).join(true, "u", "left_anti").select("d", "th", "nos")
+    return _numbers(gone.unionByName(more))
 
 
 def dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", dropped: str | None = None, **options) -> DataFrame:
@@ -377,6 +417,6 @@ def dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", dropped:
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    clean = dedup(documents(spark, sf_dir).select("doc_id", "text"), dropped="n_dropped")
+    clean = dedup(documents(spark, sf_dir).select("doc_id", "text"), dropped="n_dropped", similarity=COPY_SIMILARITY)
     lines = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return clean.select("doc_id", F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))

@@ -412,6 +412,21 @@ def test_copy_of_a_text_with_a_repeated_line(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == [0, 1]
 
 
+def test_only_true_copies_keep_their_lines(spark, tmp_path):
+    r = random.Random(15)
+    line = lambda: " ".join(f"word{r.randint(0, 99999)}" for _ in range(12))
+    first = [line() for _ in range(20)]
+    own = [line() for _ in range(12)]
+    texts = ["\n".join(first), "\n".join(first), "\n".join(first[:19] + own[:1]), "\n".join(first[:14] + own[1:7]), "\n".join(first[3:7] + own[7:9])]
+    want = [texts[0], texts[1], texts[2], "\n".join(own[1:7]), "\n".join(own[7:9])]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = line_dedup.op7_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [x["n_dropped"] for x in got] == [0, 0, 0, 14, 4]
+    stage = corpus_pipeline.line_stage(spark, docs_of(spark, texts), "")
+    assert [x["text"] for x in stage.orderBy("doc_id").collect()] == want
+    assert [x["doc_id"] for x in corpus_pipeline.simhash_stage(spark, stage, "").orderBy("doc_id").collect()] == [0, 3, 4]
+
+
 # --- classifiers
 
 
