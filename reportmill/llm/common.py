@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +22,18 @@ from reportmill.plans.shipping import ship
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\u000b\f\r"
 
-#: Rows in an Arrow batch: texts may be long, and a batch is held whole by a Python worker and its JVM.
-BATCH_ROWS = 4000
+#: Bytes in an Arrow batch: texts may be long, and a batch is held whole by a Python worker and its JVM.
+BATCH_BYTES = 2 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors and keeps Arrow batches of texts small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Sends the package to the executors and bounds Arrow batches by their bytes, where the session sets no bound.
+
+    The setting stays, as frames run after the call that makes them; no result depends on it.
+    """
+    if not 0 < int(spark.conf.get(_BATCH_SETTING, None) or 0) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
     return ship(spark)
 
 
@@ -56,7 +62,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="reportmill-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -75,11 +81,24 @@ def release(df: DataFrame) -> None:
     """Deletes what :func:`materialize` wrote for this frame; nothing may read it any more."""
     for spark, path in list(_written):
         if any(path in f for f in df.inputFiles()):
-            _delete(spark, path)
+            delete(spark, path)
             _written.remove((spark, path))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what :func:`materialize` writes inside; frames made inside must be used up by then."""
+    before = set(p for _, p in _written)
+    try:
+        yield
+    finally:
+        for entry in [e for e in _written if e[1] not in before]:
+            delete(*entry)
+            _written.remove(entry)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -89,7 +108,7 @@ def _clean() -> None:
     for spark, path in _written:
         try:
             if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
+                delete(spark, path)
         except Exception:  # the JVM has gone before us
             return
 
