@@ -10,16 +10,18 @@ symbols of two tokens by rank and is remembered.
 Texts become words as in the tokenizer file: special tokens first, then canonical composition,
 lower case letter by letter, the file's split pattern, and bytes as printable characters, with an
 end-of-word mark on the last. The file is read once by the driver and sent to the executors (a fixed
-size). Texts stream through the workers in Arrow batches; a worker remembers the ids of a bounded
-number of chunks between white space and starts anew beyond that, which costs time only.
+size). Texts stream through the workers in Arrow batches; a worker remembers the ids of chunks between
+white space and the outcome of pair tests up to a bounded number of bytes and starts anew beyond that,
+which costs time only. :func:`digests` encodes, decodes and hashes in one pass through one worker.
 
 Defined results: null and empty texts have no ids and decode to the empty text; the text is used
-whole however long; repeated rows get equal results; other columns pass through. Text of a special
-token counts as that token, as the library does by default.
+whole however long; repeated rows get equal results; other columns pass through, whatever their names; an
+empty table gives an empty table. Text of a special token counts as that token, as the library does by default.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from array import array
@@ -35,10 +37,12 @@ from reportmill.llm.common import col, documents, fresh
 
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 END = "</w>"
-#: Chunks that a worker remembers.
-REMEMBERED = 400_000
-#: Bytes of text in one output batch at most, but for a single longer text.
-BATCH_BYTES = 4_000_000
+#: Bytes (about) of chunks that a worker remembers, and what an entry takes besides its text and ids.
+REMEMBERED, ENTRY = 40 << 20, 220
+#: Pair tests that a worker remembers: about 170 bytes each.
+TESTS = 200_000
+#: Bytes of text that are cut into chunks at a time, but for a single longer text.
+BATCH_BYTES = 2 << 20
 
 
 def byte_characters() -> dict[int, str]:
@@ -65,7 +69,7 @@ class TrieBpe:
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
+        self.endings = self.sizes_by_ending()
         self.bytes = byte_characters()
         self.table = {b: c for b, c in self.bytes.items()}
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
@@ -74,6 +78,7 @@ class TrieBpe:
         self.fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.held = 0
 
     # --- pair test
 
@@ -107,7 +112,7 @@ class TrieBpe:
         known = self.fits.get((a, b))
         if known is None:
             known = (a, b) not in self.rank and self.merged([*self.symbols(a), *self.symbols(b)]) == [a, b]
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= TESTS:
                 self.fits.clear()
             self.fits[a, b] = known
         return known
@@ -120,13 +125,23 @@ class TrieBpe:
 
     # --- trie traversal
 
+    def sizes_by_ending(self) -> dict[str, tuple[int, ...]]:
+        """The sizes of tokens of three symbols and more, largest first, by their last three symbols and end mark."""
+        found: dict[str, set[int]] = {}
+        for t in self.vocab:
+            body, end = (t[: -len(END)], END) if t.endswith(END) and t != END else (t, "")
+            if len(body) > 2:
+                found.setdefault(body[-3:] + end, set()).add(len(body))
+        return {e: tuple(sorted(sizes, reverse=True)) for e, sizes in found.items()}
+
     def last(self, prefix: str, lasts: list[str], end: str) -> str:
         """The last token of the prefix; lasts[i] is that of its first i symbols."""
         vocab, n = self.vocab, len(prefix)
-        for size in range(min(n, self.longest), 0, -1):
-            t = prefix[n - size :] + end
-            if t in vocab and (self.alone(t) if size == n else self.goes(lasts[n - size], t)):
-                return t
+        for size in (*self.endings.get(prefix[-3:] + end, ()), 2, 1) if n > 2 else range(n, 0, -1):
+            if size <= n:
+                t = prefix[n - size :] + end
+                if t in vocab and (self.alone(t) if size == n else self.goes(lasts[n - size], t)):
+                    return t
         raise ValueError(f"no token ends {prefix!r}")
 
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
@@ -178,16 +193,19 @@ class TrieBpe:
         new = [c for c in chunks if c not in self.chunks]
         if not new:
             return
-        as_bytes = lambda w: w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
-        parts = {c: [as_bytes(w) for w in self.words.findall(c)] for c in new}
+        self.held += sum(3 * len(c) + ENTRY for c in new)
+        if self.held > REMEMBERED:
+            self.chunks.clear()
+            new, self.held = list(chunks), sum(3 * len(c) + ENTRY for c in chunks)
+        plain = lambda w: w.isascii() and w.isprintable()  # these bytes are their own characters
+        as_bytes = lambda w: w if plain(w) else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
+        parts = {c: [c] if c.isascii() and c.isalpha() else [as_bytes(w) for w in self.words.findall(c)] for c in new}
         ids = self.encode_words({w for ws in parts.values() for w in ws})
         for c, ws in parts.items():
             self.chunks[c] = array("I", [i for w in ws for i in ids[w]]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text: four little-endian bytes an id."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
         cut = [[(special, x if special else self.split(x)) for special, x in self.pieces(t)] for t in texts]
         self.learn({c for parts in cut for special, x in parts if not special for c in x})
         known = self.chunks
@@ -267,13 +285,23 @@ def default_tokenizer() -> str:
 
 
 def digests(docs: DataFrame, tokenizer: str | None = None, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: number of ids and digests of the ids and of the decoded text."""
-    tokenizer = tokenizer or default_tokenizer()
-    coded = encode(docs.select(key, text), tokenizer, text=text).drop(text)
-    both = decode(coded, tokenizer)
-    return both.select(
-        col(key).alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
-    )
+    """Per document: number of ids and digests of the ids and of the decoded text, all from one pass."""
+    with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
+        content = docs.sparkSession.sparkContext.broadcast(f.read())
+    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), *[T.StructField(n, k) for n, k in DIGESTS]])
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+
+    def work(it):
+        bpe = _bpe(content.value)
+        for batch in _batches(it, 1):
+            packed = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
+            more = [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([sha(p) for p in packed]), pa.array([sha(bpe.decode(p).encode()) for p in packed])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *more], names=["doc_id", *[n for n, _ in DIGESTS]])
+
+    return docs.select(col(key), col(text)).mapInArrow(work, schema)
+
+
+DIGESTS = (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
