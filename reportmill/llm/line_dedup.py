@@ -8,21 +8,26 @@ segment is moved by at most what the errors before and after it allow), for each
 allows. Two linked lines share at least one such key. What shares a key is verified: first by counts
 of characters in 8 classes, then by a bit-parallel edit distance.
 
-An occurrence is a duplicate when its class, or a class linked with it, occurs earlier (by document id,
-null last, then line). Repeats inside a document always go: every line that an equal or linked one stands
-before in its own document, wherever their class occurs first. Across documents a duplicate goes as well,
-with one exception: where a single earlier document holds more than half of a document's characters,
-the document is a copy of that one, and its lines from there stay, so that document-level dedup can
-judge the copy whole (and finds it equal to the original, which loses the same other lines). With
-``similarity`` that is only so where the document-level criterion holds: what stays of the document and
-of that earlier one has at least this Jaccard coefficient of sets of ``words`` word shingles. All other
-documents lose their duplicate lines.
+Shorter lines, of at least ``EXACT_CHARS`` characters, are compared for equality only (two edits make another
+short line of many a short line); lines shorter than that are words and numbers that recur by themselves.
+
+An occurrence is a duplicate, and goes, when its class, or a class linked with it, occurs earlier (by document
+id, null last, then line), in another document or in its own.
+
+A step of document-level dedup after this one wants copies whole. For that, and only where asked for,
+``copy_share`` exempts copies: where a single earlier document holds more than that share of a document's
+characters, the document's lines from there stay, so that the next step can judge the copy (and finds it
+equal to the original, which loses the same other lines). With ``similarity`` that is only so where the
+document-level criterion holds: what stays of the document and of that earlier one has at least this
+Jaccard coefficient of sets of ``words`` word shingles. All other documents lose their duplicate lines, and
+repeats inside a document always go.
 
 Equal lines count once before anything is compared. A key with many classes is cut into blocks, and a
 pair of blocks returns for each class only its earliest linked class, so no task gets a whole key and
 no pairs are listed. Texts travel only for lines that share a key; a bit map of fixed size picks them.
 
-Defined results: null texts stay null, empty and short lines stay, documents keep their other columns;
+Defined results: null texts stay null, blank lines (nothing but ASCII white space) stay, documents keep their
+other columns, whatever their names; texts and lines are read whole however long;
 rows with equal id and text are one document to this operator and get equal results; an empty table
 gives an empty table.
 """
@@ -37,15 +42,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportmill.llm.common import col, documents, fresh, let, materialize
+from reportmill.llm.common import WHITE, col, documents, fresh, let, materialize
 from reportmill.llm.components import _join
 from reportmill.llm.simhash import shingles
 
 MIN_CHARS = 30
+#: Shorter lines than MIN_CHARS, down to this length, are duplicates only when they are equal.
+EXACT_CHARS = 12
 DISTANCE = 2
-COPY_SHARE = 0.5
-#: The criterion of document-level dedup (shingle width, Jaccard coefficient) for what counts as a copy.
-COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+#: Shingle width of the document-level criterion for what counts as a copy.
+COPY_WORDS = 5
 BLOCK = 512
 #: Bits of the maps that pick lines and documents before they are dealt: 1 MB each.
 MAP_BITS = 1 << 23
@@ -65,6 +71,11 @@ def class_hash(line: Column) -> Column:
     return F.xxhash64(line).bitwiseAND(F.lit(~1))
 
 
+def blank(line: str) -> bool:
+    """Whether a line holds nothing but ASCII white space, as the patterns of the tables test it."""
+    return not line.strip(WHITE)
+
+
 def segments(length: int, tau: int = DISTANCE) -> list[tuple[int, int]]:
     """(start, length) of tau + 1 segments of nearly even length, shorter ones first."""
     short, longer = divmod(length, tau + 1)
@@ -161,16 +172,18 @@ FEW_LINES = 64
 
 def repeats(text: str, min_chars: int = MIN_CHARS, tau: int = DISTANCE) -> list[int]:
     """Numbers of the compared lines that an equal or linked line stands before in the same text."""
-    lines = [(k, x) for k, x in enumerate(text.split("\n")) if len(x) >= min_chars and not x.isspace()]
+    lines = [(k, x) for k, x in enumerate(text.split("\n")) if len(x) >= min(EXACT_CHARS, min_chars) and not blank(x)]
     if len(lines) < 2:
         return []
-    few = len({x for _, x in lines}) <= FEW_LINES
+    few = len({x for _, x in lines if len(x) >= min_chars}) <= FEW_LINES
     out, known, by_length, indexed, probed = [], set(), {}, {}, {}
     for k, x in lines:
         if x in known:
             out.append(k)
             continue
-        if few:
+        if len(x) < min_chars:
+            near = []
+        elif few:
             near = [y for n in range(len(x) - tau, len(x) + tau + 1) for y in by_length.get(n, ())]
             by_length.setdefault(len(x), []).append(x)
         else:
@@ -201,7 +214,7 @@ def occurrences(docs: DataFrame, text: str, key: str, min_chars: int) -> DataFra
     lines = docs.where(t.isNotNull()).select(
         col(key), F.xxhash64(t).alias("th"), F.length(t).alias("chars"), F.posexplode(F.split(t, "\n", -1)).alias("no", "line")
     )
-    lines = lines.where((F.length("line") >= min_chars) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    lines = lines.where((F.length("line") >= min(EXACT_CHARS, min_chars)) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return lines.select(class_hash(F.col("line")).alias("h"), F.length("line").alias("len"), _place(key).alias("place"), "chars")
 
 
@@ -226,7 +239,7 @@ def _keyed(docs: DataFrame, text: str, min_chars: int, tau: int) -> DataFrame:
 
     def work(it):
         for pdf in it:
-            lines = {x for t in pdf["t"] if t for x in t.split("\n") if len(x) >= min_chars and not x.isspace()}
+            lines = {x for t in pdf["t"] if t for x in t.split("\n") if len(x) >= min_chars and not blank(x)}
             key: list[int] = []
             owner, counts = [], []
             for x in lines:
@@ -331,7 +344,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, *, text: str, min_chars:
     met = materialize(met.select("key", F.col("c").bitwiseAND(F.lit(~1)).alias("h"), (F.col("c").bitwiseAND(F.lit(1)) == 1).alias("probe")), "line-candidates")
     shared = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     texts = _texts(docs, text, _bit_map(spark, met.select("h"))).groupBy("h", "len").agg(F.first("line").alias("line"))
-    known = classes.select("h", "len", *[F.col(f"place.{c}").alias(c) for c in PLACE]).join(texts, ["h", "len"])
+    known = classes.where(F.col("len") >= min_chars).select("h", "len", *[F.col(f"place.{c}").alias(c) for c in PLACE]).join(texts, ["h", "len"])
     full = _join(met, shared, "key").join(known, "h").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "probe", "h", "len", "line", *PLACE)
@@ -368,7 +381,7 @@ def true_copies(docs: DataFrame, held: DataFrame, gone: DataFrame, *, text: str,
 
 
 def duplicates(
-    docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS, tau: int = DISTANCE, copy_share: float = COPY_SHARE,
+    docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS, tau: int = DISTANCE, copy_share: float | None = None,
     similarity: float | None = None, words: int = COPY_WORDS,
 ) -> DataFrame:
     """(d, th, nos): for each document with duplicate lines their numbers, from 0."""
@@ -380,6 +393,8 @@ def duplicates(
     source = source.select("h", "len", F.least("place", "earlier").alias("source"))
     both = F.xxhash64("h", "len")
     later = rows.withColumn("hl", both).join(source.withColumn("hl", both), ["h", "len", "hl"]).where(F.col("source") < F.col("place"))
+    if copy_share is None:
+        return later.groupBy(F.col("place.d").alias("d"), F.col("place.th").alias("th")).agg(F.collect_set("place.no").alias("nos"))
     inside = (F.col("place.d").eqNullSafe(F.col("source.d"))) & (F.col("place.th") == F.col("source.th"))
     by_source = later.groupBy(
         F.col("place.d").alias("d"), F.col("place.th").alias("th"), F.col("source.d").alias("sd"), F.col("source.th").alias("sth"), inside.alias("inside")
@@ -417,6 +432,6 @@ def dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", dropped:
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    clean = dedup(documents(spark, sf_dir).select("doc_id", "text"), dropped="n_dropped", similarity=COPY_SIMILARITY)
+    clean = dedup(documents(spark, sf_dir).select("doc_id", "text"), dropped="n_dropped")
     lines = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return clean.select("doc_id", F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))

@@ -313,13 +313,14 @@ def test_edit_distance_and_keys(tau):
             assert {k for part in line_dedup.keys(long, tau) for k in part} & set(line_dedup.keys(short, tau)[0])
 
 
-def brute_lines(docs, tau=2, least=30, share=0.5):
+def brute_lines(docs, tau=2, least=30, share=None):
     """Lines that stay, by the definitions."""
-    found = [(i, k, x, t) for i, t in docs if t is not None for k, x in enumerate(t.split("\n")) if len(x) >= least and x.strip()]
+    found = [(i, k, x, t) for i, t in docs if t is not None for k, x in enumerate(t.split("\n")) if len(x) >= 12 and x.strip(" \t\n\v\f\r")]
     first = {}
     for i, k, x, _ in found:
         first[x] = min(first.get(x, (i, k)), (i, k))
-    source = {x: min(p for y, p in first.items() if abs(len(x) - len(y)) <= tau and line_dedup._plain(x, y) <= tau) for x in first}
+    near = lambda x, y: x == y or (min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= tau and line_dedup._plain(x, y) <= tau)
+    source = {x: min(p for y, p in first.items() if near(x, y)) for x in first}
     gone = set()
     for i, t in docs:
         mine = [(k, x, source[x]) for j, k, x, _ in found if j == i and source[x] < (j, k)]
@@ -327,7 +328,7 @@ def brute_lines(docs, tau=2, least=30, share=0.5):
         for _, x, s in mine:
             if s[0] != i:
                 held[s[0]] = held.get(s[0], 0) + len(x)
-        gone |= {(i, k) for k, x, s in mine if s[0] == i or held[s[0]] <= share * len(t)}
+        gone |= {(i, k) for k, x, s in mine if s[0] == i or share is None or held[s[0]] <= share * len(t)}
     return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in docs}
 
 
@@ -342,6 +343,8 @@ def line_docs():
             parts.insert(r.randrange(len(parts)), edited(r, r.choice(shared), r.randint(0, 3)))
         if r.random() < 0.2:
             parts.append(parts[0])
+        if r.random() < 0.3:
+            parts.insert(1, r.choice(["All rights reserved.", "All rights reserve.", "\u00a0" * 40, "Yes."]))
         texts.append("\n".join(parts))
     copy = texts[10]
     lines = copy.split("\n")
@@ -365,15 +368,15 @@ def test_keys_meet_over_batches():
         assert set(got) == want
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_line_dedup(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "share"), [(512, None), (2, None), (512, 0.5)])
+def test_line_dedup(spark, monkeypatch, block, share):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
     texts = line_docs()
     docs = docs_of(spark, texts)
-    got = line_dedup.dedup(docs, dropped="n_dropped")
+    got = line_dedup.dedup(docs, dropped="n_dropped", copy_share=share)
     assert got.columns == [*docs.columns, "n_dropped"]
     rows = {r["doc_id"]: r for r in got.collect()}
-    want = brute_lines(list(enumerate(texts)))
+    want = brute_lines(list(enumerate(texts)), share=share)
     assert {i: r["text"] for i, r in rows.items()} == want
     assert sum(r["n_dropped"] for r in rows.values()) > 10
     assert line_dedup.dedup(docs.limit(0)).count() == 0
@@ -396,8 +399,8 @@ def test_repeats_inside_a_text(monkeypatch, few):
         lines = [" ".join(r.choice(["red", "green", "blue"]) + str(r.randint(0, 9999)) for _ in range(r.randint(3, 6))) for _ in range(8)]
         lines += [edited(r, r.choice(lines), r.randint(0, 4)) for _ in range(8)] + ["short", " " * 40]
         r.shuffle(lines)
-        long = [(k, x) for k, x in enumerate(lines) if len(x) >= 30 and x.strip()]
-        want = [k for k, x in long if any(j < k and line_dedup._plain(x, y) <= 2 for j, y in long)]
+        long = [(k, x) for k, x in enumerate(lines) if len(x) >= 12 and x.strip()]
+        want = [k for k, x in long if any(j < k and (x == y or (min(len(x), len(y)) >= 30 and line_dedup._plain(x, y) <= 2)) for j, y in long)]
         assert line_dedup.repeats("\n".join(lines)) == want
 
 
@@ -406,7 +409,7 @@ def test_copy_of_a_text_with_a_repeated_line(spark):
     line = lambda: " ".join(f"word{r.randint(0, 99999)}" for _ in range(12))
     a, b = line(), line()
     text = f"{a}\n{b}\n{a}\n{edited(r, b, 2)}"
-    clean = line_dedup.dedup(docs_of(spark, [text, line(), text, text]), dropped="n_dropped").orderBy("doc_id").collect()
+    clean = line_dedup.dedup(docs_of(spark, [text, line(), text, text]), dropped="n_dropped", copy_share=0.5).orderBy("doc_id").collect()
     assert [x["text"] for x in clean if x["doc_id"] != 1] == [f"{a}\n{b}"] * 3
     kept = simhash.keep_one(corpus_pipeline.line_stage(spark, docs_of(spark, [text, line(), text, text]), ""))
     assert sorted(x["doc_id"] for x in kept.collect()) == [0, 1]
@@ -421,7 +424,7 @@ def test_only_true_copies_keep_their_lines(spark, tmp_path):
     want = [texts[0], texts[1], texts[2], "\n".join(own[1:7]), "\n".join(own[7:9])]
     docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     got = line_dedup.op7_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
-    assert [x["n_dropped"] for x in got] == [0, 0, 0, 14, 4]
+    assert [x["n_dropped"] for x in got] == [0, 20, 19, 14, 4]  # by itself the operator exempts nothing
     stage = corpus_pipeline.line_stage(spark, docs_of(spark, texts), "")
     assert [x["text"] for x in stage.orderBy("doc_id").collect()] == want
     assert [x["doc_id"] for x in corpus_pipeline.simhash_stage(spark, stage, "").orderBy("doc_id").collect()] == [0, 3, 4]
