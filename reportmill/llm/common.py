@@ -97,6 +97,33 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _written.remove(entry)
 
 
+_of_stages: list[tuple[SparkSession, str]] = []
+
+
+def begin_stage(docs: DataFrame) -> None:
+    """Deletes what earlier stages of a pipeline wrote to the scratch folder, unless ``docs`` reads it.
+
+    For chains in which each stage's result is written before the next stage is called.
+    """
+    read = docs.inputFiles() if _of_stages else []
+    for entry in list(_of_stages):
+        if not any(entry[1] in f for f in read):
+            _of_stages.remove(entry)
+            if entry in _written:
+                delete(*entry)
+                _written.remove(entry)
+
+
+@contextmanager
+def stage_scratch() -> Iterator[None]:
+    """What :func:`materialize` writes inside belongs to a stage; :func:`begin_stage` may delete it."""
+    before = list(_written)
+    try:
+        yield
+    finally:
+        _of_stages.extend(e for e in _written if e not in before)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared storage."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,7 +15,7 @@ all of them; so nothing is capped, and no task gets a whole key.
 two whole texts (:func:`similar_links`). At a coefficient of 0.8 about 10 of 64 bits differ, with a
 spread that reaches 18, and no segment of such fingerprints is a key that tells texts apart. Candidates
 are therefore texts that agree in one of ``BANDS`` bands of ``BAND_ROWS`` least hashes: a pair at 0.8 is
-left out with a probability of 3e-6, closer ones with less. Every candidate is verified on its whole sets.
+left out with a probability of 3e-6, closer ones with less. Every candidate is compared on its whole sets.
 
 Defined results: texts without words have fingerprint zero and link like any other; a null id never
 is a component's id unless all its documents have none; repeated rows are documents of one component.
@@ -37,6 +37,8 @@ SEED = 42
 MAX_BITS = 2
 #: Fingerprints in a block.
 BLOCK = 1024
+#: Shingles in a block of sets, and columns of an incidence matrix.
+ELEMENTS, COLUMNS = 1 << 19, 2048
 #: Bands of least hashes and hashes in a band, for exact similarity.
 BANDS, BAND_ROWS = 24, 4
 
@@ -221,36 +223,95 @@ def with_bands(docs: DataFrame, text: str, width: int, name: str) -> DataFrame:
     return docs.withColumn(name, F.pandas_udf(work, "fp long, bands array<long>")(col(text)))
 
 
+def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of a few sets (sorted hashes) are at least so similar, as a boolean matrix, from products of incidence matrices."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1  # what only one set holds is in no intersection
+    at = np.flatnonzero(often[column])
+    at = at[np.argsort(column[at], kind="stable")]
+    owner, place = np.repeat(np.arange(n), size)[at], (np.cumsum(often) - 1)[column[at]]
+    same = np.zeros((n, n), np.float32)
+    for first in range(0, int(often.sum()), COLUMNS):
+        lo, hi = np.searchsorted(place, [first, first + COLUMNS])
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[owner[lo:hi], place[lo:hi] - first] = 1
+        same += m @ m.T
+    out = np.zeros((n, n), bool)
+    for i in range(0, n, 256):
+        part = same[i : i + 256].astype(np.float64)
+        out[i : i + 256] = part / (size[i : i + 256, None] + size[None, :] - part) >= similarity
+    return out
+
+
+def _similar_runs(it, similarity: float):
+    """Spanning forests of the links in runs of equal (key, lo, hi), which may go on in the next batch."""
+
+    def run(g: pd.DataFrame) -> list[tuple[int, int]]:
+        if len(g) < 2:
+            return []
+        near, fps, block = similar_sets(g["set"].tolist(), similarity), g["fp"].to_numpy(), g["block"].to_numpy()
+        if g["lo"].iloc[0] != g["hi"].iloc[0]:
+            near &= block[:, None] != block[None, :]  # pairs inside a block are another piece of work
+        left, out = np.ones(len(fps), bool), []
+        for i in range(len(fps)):
+            if not left[i]:
+                continue
+            left[i], todo = False, [i]
+            while todo:
+                j = todo.pop()
+                found = np.flatnonzero(near[j] & left)
+                left[found] = False
+                out += [(int(fps[j]), int(fps[k])) for k in found]
+                todo += found.tolist()
+        return out
+
+    rest = None
+    for pdf in it:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        group = pdf[["key", "lo", "hi"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
+        rest = pdf.iloc[starts[-1] :]
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            yield pd.DataFrame(run(pdf.iloc[s:e]), columns=["a", "b"], dtype="int64")
+    if rest is not None:
+        yield pd.DataFrame(run(rest), columns=["a", "b"], dtype="int64")
+
+
 def similar_links(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     """Edges (a, b) that connect all sets of shingles at least so similar, of rows (fp, bands, text).
 
-    First each set is compared with one of its band; pairs of a band that are then still in different
-    components are compared one by one, so a large group of near copies costs no square of its size.
+    First each set is compared with the most popular one of its band (which shares bands with most others, as the
+    original of many copies does). Where a band then still holds sets of different components, all its sets
+    are compared in pairs of blocks of bounded size, which give a spanning forest each; no pairs are listed. A
+    large group of near copies of one text costs no square of its size unless many of them are farther from it.
     """
     keyed = rows.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.explode("bands").alias("key"))
     keyed = materialize(keyed, "bands")
-    shared = keyed.groupBy("key").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keyed = materialize(_join(keyed, shared, "key"), "shared-bands")
     texts = rows.join(keyed.select("fp").distinct(), "fp").groupBy("fp").agg(F.first("text").alias("text"))
     whole = F.pandas_udf(lambda s: s.map(lambda t: shingles(t, width).view(np.int64)), "array<long>")
     sets = materialize(texts.select("fp", whole("text").alias("set")), "shingle-sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sized = sets.select("fp", F.size("set").alias("n"))
-        fit = _join(_join(pairs, sized.toDF("a", "na"), "a"), sized.toDF("b", "nb"), "b")
-        fit = fit.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity)
-        both = _join(_join(fit, sets.toDF("a", "sa"), "a"), sets.toDF("b", "sb"), "b")
-        both = both.withColumn("same", F.size(F.array_intersect("sa", "sb")))
-        return both.where(F.col("same") / (F.col("na") + F.col("nb") - F.col("same")) >= similarity).select("a", "b")
-
-    stars = keyed.where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
-    first = materialize(verified(stars), "similar")
+    sized = sets.select("fp", F.size("set").alias("m"))
+    popular = keyed.groupBy("fp").agg(F.sum("n").alias("popular"))
+    heads = _join(keyed, popular, "fp").groupBy("key").agg(F.max_by("fp", F.struct("popular", "fp")).alias("head"))
+    stars = _join(keyed, heads, "key").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
+    fit = _join(_join(stars, sized.toDF("a", "na"), "a"), sized.toDF("b", "nb"), "b")
+    fit = fit.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity)
+    both = _join(_join(fit, sets.toDF("a", "sa"), "a"), sets.toDF("b", "sb"), "b").withColumn("same", F.size(F.array_intersect("sa", "sb")))
+    first = materialize(both.where(F.col("same") / (F.col("na") + F.col("nb") - F.col("same")) >= similarity).select("a", "b"), "similar")
     roots = components(first).select(F.col("node").alias("fp"), "root")
     member = keyed.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    member = materialize(_join(member, mixed, "key"), "mixed-bands")
-    pairs = _join(member.toDF("key", "a", "ra"), member.toDF("key", "b", "rb"), "key").where("a < b AND ra <> rb").select("a", "b").distinct()
-    return first.unionByName(verified(pairs.join(stars, ["a", "b"], "left_anti")))
+    blocks = F.greatest(F.ceil(F.sum("m") / ELEMENTS), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks")
+    mixed = _join(member, sized, "fp").groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), blocks).where("least <> most")
+    member = materialize(_join(member.select("key", "fp"), mixed.select("key", "blocks"), "key"), "mixed-bands")
+    cut = member.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp")
+    dealt = _join(cut, sets, "fp").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return first.unionByName(dealt.mapInPandas(lambda it: _similar_runs(it, similarity), "a long, b long"))
 
 
 def component_of(rows: DataFrame, fp: str, order: str, edges: DataFrame | None = None) -> DataFrame:
