@@ -6,6 +6,8 @@ All functions take the tables of :mod:`reportmill.operators.labelling`: ``rows``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,18 +71,31 @@ def uncertainty_markers(text: Column) -> Column:
 
 
 def explicit_cue(target: str, clause: Column) -> Column:
-    """Whether a clause names the target in any way a detector knows."""
-    words = V.ANATOMY_TERMS.get(target, ()) + V.DIRECT_TERMS.get(target, ()) + sum((g["terms"] for g in V.COLLECTIVE_TERMS.values() if target in g["targets"]), ())
-    cue = X.contains_terms(clause, words)
+    """Whether a clause names the target itself in any way a detector knows (a group it belongs to does not count)."""
+    cue = X.contains_terms(clause, V.ANATOMY_TERMS.get(target, ()) + V.DIRECT_TERMS.get(target, ()))
     for pattern in [M.STRUCTURAL_ANATOMY_ROOTS.get(target), M.OA_ANATOMY_PATTERNS.get(target), *(r[4] for r in M.DIRECT_RULES if r[1] == target)]:
         if pattern:
             cue = cue | clause.rlike(f"(?U){pattern}")
     return cue
 
 
-def negation_type(text: Column) -> Column:
-    """How a negative statement is worded: by normality, by a negation before, or by one after."""
-    return F.when(X.contains_terms(text, V.POSTPOSED_NEGATION_TERMS), "postposed").when(X.contains_terms(text, V.NEGATION_TERMS), "preposed").when(X.contains_terms(text, V.NORMALITY_TERMS), "normality").otherwise("other")
+def negation_type(text: Column, spans: Column) -> Column:
+    """How a negative statement is worded: the first negation that ends at most 90 characters before a finding or follows
+    one within 40 as a postposed one decides, else normality, else any other negation."""
+    later = X.term_pattern(V.POSTPOSED_NEGATION_TERMS)
+
+    def kind(n: Column) -> Column:
+        before = F.exists(spans, lambda f: (n["e"] <= f["s"]) & (f["s"] - n["e"] <= 90))
+        behind = n["t"].rlike(f"^(?:{later})$") & F.exists(spans, lambda f: (n["s"] >= f["e"]) & (n["s"] - f["e"] <= 40))
+        return F.when(before, F.lit("preposed")).when(behind, F.lit("postposed"))
+
+    def worded(found: Column) -> Column:
+        first = F.get(F.filter(F.transform(found, kind), lambda k: k.isNotNull()), F.lit(0))
+        normal = X.normalize(text)
+        rest = F.when(F.exists(F.array(*map(F.lit, V.NORMALITY_TERMS)), lambda t: F.contains(normal, t)), "explicit_normality").when(F.size(found) > 0, "other_implemented_negation")
+        return F.coalesce(first, rest, F.lit("negative_status_without_reconstructed_marker"))
+
+    return X.let(X.spans(text, X.term_pattern(V.NEGATION_TERMS)), worded)
 
 
 # --- frames
@@ -134,7 +149,7 @@ def linked_only(inventory: DataFrame) -> DataFrame:
 
 
 def negations(inventory: DataFrame) -> DataFrame:
-    rows = inventory.where("status = 'negative'").withColumn("negation", negation_type(F.col("evidence")))
+    rows = inventory.where("status = 'negative'").withColumn("negation", negation_type(F.col("evidence"), F.col("spans")))
     return rows.groupBy("target", "negation").agg(n_rows(), n_studies(), F.min_by("evidence", F.struct("study", "place")).alias("first_example"))
 
 
@@ -161,6 +176,50 @@ def unit_counts(reports: DataFrame, clauses: DataFrame, views: DataFrame, found:
     return R.describe(total, ["unit"], "per_report").join(sums, "unit")
 
 
+def example_structure(inventory: DataFrame, families: DataFrame) -> DataFrame:
+    """Winning evidence by target and status, counted at every unit at which examples may repeat."""
+    rows = inventory.where("winning").join(families.select("study", "exact_family", "numeric_family"), "study")
+    counts = rows.groupBy("target", "status").agg(
+        n_rows(), F.count_distinct("normalized_evidence").alias("n_evidence"), n_studies(), F.count_distinct("exact_family").alias("n_exact_families"),
+        F.count_distinct("numeric_family").alias("n_numeric_families"), F.array_sort(F.collect_set("language_group")).alias("languages"),
+    )
+    rules = F.when(F.size("rules") > 0, F.col("rules")).otherwise(F.array(F.lit("<no_explicit_rule>")))
+    pairs = rows.select("target", "status", F.explode("detectors").alias("detector"), rules.alias("rules")).select("target", "status", "detector", F.explode("rules").alias("rule"))
+    combined = pairs.groupBy("target", "status").agg(F.array_sort(F.collect_set(F.concat_ws("::", "detector", "rule"))).alias("detector_rules"))
+    return counts.join(combined, ["target", "status"]).withColumn("n_detector_rules", F.size("detector_rules"))
+
+
+def study_distribution(rows: DataFrame, props: DataFrame) -> DataFrame:
+    """How targets by status, propositions and evidence texts are spread over studies: one row a measure."""
+    s = F.col("status")
+    per = rows.groupBy("study").agg(
+        F.count_if(s.isin("positive", "negative")).alias("binary_resolved_targets"), *[F.count_if(s == x).alias(f"{x}_targets") for x in ("positive", "negative", "uncertain", "unknown")]
+    )
+    more = props.groupBy("study").agg(F.count(F.lit(1)).alias("propositions"), F.count_distinct("evidence").alias("unique_evidence_fragments"))
+    wide = per.join(more, "study", "left").na.fill(0)
+    items = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in wide.columns if c != "study"]))
+    return R.describe(wide.select(items.alias("m")).select("m.*"), ["measure"], "value")
+
+
+def positive_misses(rows: DataFrame) -> DataFrame:
+    """Official positives that no rule resolved: counts by language and target."""
+    missed = rows.where((F.col("official_label") == 1) & F.col("status").isin("unknown", "uncertain"))
+    return R.pivot_counts(missed.select("language_group", "target"), ["language_group"], "target", list(V.TARGETS))
+
+
+def language_safety(rows: DataFrame) -> DataFrame:
+    """What reading unknown as negative would cost, by language."""
+    out = rows.where("status = 'unknown' AND official_label IS NOT NULL").groupBy("language_group").agg(F.count(F.lit(1)).alias("unknown_n"), F.sum("official_label").alias("false_negative"))
+    return out.withColumn("correct_negative", F.col("unknown_n") - F.col("false_negative")).withColumn("safety", F.col("correct_negative") / F.col("unknown_n"))
+
+
+def weight_sensitivity(rows: DataFrame, weights: tuple[float, ...] = (0.10, 0.25, 0.50, 1.00)) -> DataFrame:
+    """Examples and false negatives that pseudo labels of several weights would add."""
+    one = rows.where("status = 'unknown' AND official_label IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("official_label"), F.lit(0)).alias("bad"))
+    out = one.select("n", "bad", F.explode(F.array(*map(F.lit, weights))).alias("weight"))
+    return out.select("weight", (F.col("weight") * F.col("n")).alias("added_examples"), (F.col("weight") * F.col("bad")).alias("false_negative_mass"), F.try_divide("bad", "n").alias("incorrect_share"))
+
+
 def audit(rows: DataFrame, views: DataFrame | None = None) -> DataFrame:
     """(check, issues): exhaustive consistency of labels, evidence and provenance, in one aggregation (and one join for membership)."""
     s, p = F.col("status"), F.col("evidence_provenance")
@@ -170,7 +229,7 @@ def audit(rows: DataFrame, views: DataFrame | None = None) -> DataFrame:
         "unknown_is_empty": (s == "unknown") & ((F.size(p) > 0) | (conf != 0)), "resolved_has_evidence": (s != "unknown") & (F.size(p) == 0),
         "evidence_is_provenance": ~F.col("evidence").eqNullSafe(p["evidence"]), "first_evidence_wins": (s != "unknown") & (F.get(p, F.lit(0))["status"] != s),
         "at_most_three": F.size(p) > 3, "detectors_known": ~F.forall(F.flatten(p["detectors"]), lambda d: d.isin(*M.DETECTOR_PRIORITY)),
-        "confidence_bound": (s != "unknown") & (conf > F.array_max(p["confidence"]) + 1e-9), "conflict_is_lower": F.col("rationale").contains("conflict") & (conf > F.array_max(p["confidence"]) - 0.05),
+        "summary_fields": (F.size(F.array_except("phenotypes", p["phenotype"])) > 0) | (F.size(F.array_except("detectors", F.flatten(p["detectors"]))) > 0), "conflict_is_lower": F.col("rationale").contains("conflict") & (conf > F.array_max(p["confidence"]) - 0.05),
         "spans_in_text": F.exists(p, lambda x: F.exists(x["spans"], lambda k: (k["s"] < 0) | (k["e"] > F.length(x["evidence"])))),
     }
     row = rows.agg(*[F.count_if(bad).alias(c) for c, bad in checks.items()])
@@ -182,12 +241,18 @@ def audit(rows: DataFrame, views: DataFrame | None = None) -> DataFrame:
     return out.unionByName(foreign)
 
 
-def frames(reports: DataFrame, leak: bool = False) -> dict[str, DataFrame]:
-    """All frames by name, lazily, over the given reports."""
+def frames(reports: DataFrame, leak: bool = False, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All frames by name, lazily, over the given reports.
+
+    ``keep`` takes the tables that many frames read (clauses, views, mentions, supervision) with a name, and gives them
+    back as written, so that segmentation and detection run once.
+    """
     from reportmill.operators import labelling as L
     from reportmill.operators import profile as P
 
-    rows, found, views, clauses = L.supervision(reports, "v3", leak), L.mentions(reports, leak), L.text_views(reports), L.clauses(reports)
+    keep = keep or (lambda df, name: df)
+    found, views, clauses = keep(L.mentions(reports, leak), "mentions"), keep(L.text_views(reports), "views"), keep(L.clauses(reports), "clauses")
+    rows = keep(L.supervision(reports, "v3", found=found), "supervision")
     props, inventory = L.propositions(found), evidence(rows)
     texts = reports.select("study", "report").withColumn("normal", X.normalize(F.col("report")))
     return {
@@ -199,4 +264,6 @@ def frames(reports: DataFrame, leak: bool = False) -> dict[str, DataFrame]:
         "template_families": P.inconsistent_families(P.families(rows.join(reports.select("study", "report"), "study"), "report"), "exact_family", "target", "status"),
         "numeric_families": P.inconsistent_families(P.families(rows.join(reports.select("study", "report"), "study"), "report"), "numeric_family", "target", "status"),
         "unigrams": P.gram_counts(texts, "report", 1), "bigrams": P.gram_counts(texts, "report", 2), "audit": audit(rows, views),
+        "effective_example_structure": example_structure(inventory, P.families(reports.select("study", "report"), "report")), "study_distribution": study_distribution(rows, props),
+        "positive_misses": positive_misses(rows), "language_safety": language_safety(rows),
     }

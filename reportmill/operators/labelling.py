@@ -193,12 +193,12 @@ def official_labels(reports: DataFrame) -> DataFrame:
     return reports.select("study", pairs.alias("p")).select("study", "p.*")
 
 
-def supervision(reports: DataFrame, policy: str = "v3", leak: bool = False) -> DataFrame:
-    """The long supervision table: derived and official labels, the final one and its source."""
+def supervision(reports: DataFrame, policy: str = "v3", leak: bool = False, found: DataFrame | None = None) -> DataFrame:
+    """The long supervision table: derived and official labels, the final one and its source. found: mentions made before."""
     if policy == "v2":
-        derived, version = resolve_base(base_mentions(reports, leak), reports), BASE_POLICY
+        derived, version = resolve_base(base_mentions(reports, leak) if found is None else found, reports), BASE_POLICY
     else:
-        derived, version = resolve_propositions(propositions(mentions(reports, leak)), reports), MORPHOLOGY_POLICY
+        derived, version = resolve_propositions(propositions(mentions(reports, leak) if found is None else found), reports), MORPHOLOGY_POLICY
     norm = X.normalize(F.col("report"))
     facts = reports.select("study", X.sha256(norm).alias("report_sha256"), X.language_group(norm).alias("language_group"))
     rows = derived.join(official_labels(reports), ["study", "target"], "left").join(facts, "study")

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from reportmill.functions import clauses as C
 from reportmill.functions import text as X
+from reportmill.functions import vocabulary as V
 from reportmill.operators import relational as R
+from reportmill.operators.inspection import explicit_cue
 
 #: Fragments that may have to be joined to give one clause.
 MOST_FRAGMENTS = 6
@@ -58,7 +60,7 @@ def trusted(evidence: DataFrame, detectors: tuple[str, ...] = ("v3_target", "v3_
 def candidates(evidence: DataFrame, aligned: DataFrame) -> DataFrame:
     """One row per trusted evidence and source clause; ``failure`` says why a row cannot be used."""
     rows = trusted(evidence).withColumn("idx", F.explode("source_indices"))
-    joined = rows.join(aligned.select("study", "idx", "raw", "diagnostic", "reason"), ["study", "idx"], "left")
+    joined = rows.join(aligned.select("study", "idx", "raw", F.col("expected").alias("normalized_clause"), "diagnostic", "reason"), ["study", "idx"], "left")
     failure = F.when(F.col("diagnostic").isNull(), "missing_clause").when(~F.col("diagnostic"), "non_diagnostic_clause").when(F.col("reason").isNotNull(), F.col("reason"))
     return joined.withColumn("failure", failure)
 
@@ -82,26 +84,45 @@ def novelty(test: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:
     return test.join(seen, keys, "left").withColumn("train_matches", F.coalesce("train_matches", F.lit(0))).withColumn("is_novel", F.col("train_matches") == 0)
 
 
-def contrastive(safe: DataFrame, seed: int) -> DataFrame:
-    """For each clause the least used of its safe targets so far, in hash order.
+def guard_keys(found: DataFrame) -> DataFrame:
+    """(study, idx, target): clauses in which any detector mentions a target. Propositions cite the clauses of their mentions."""
+    return found.select("study", F.explode("source_indices").alias("idx"), "target").distinct()
 
-    The counters are global and sequential by definition; rows stream through one Python task in hash
-    order and only the counters are kept.
+
+def safe_targets(usable: DataFrame, guards: DataFrame) -> DataFrame:
+    """(study, idx, normalized_clause, clause, safe_targets) of each clause with a trusted label: targets that are not labelled, mentioned or named there."""
+    clauses = usable.groupBy("study", "idx", "normalized_clause").agg(F.first("raw").alias("clause"), F.collect_set("target").alias("labelled"))
+    held = guards.groupBy("study", "idx").agg(F.collect_set("target").alias("mentioned"))
+    cues = F.array(*[F.when(explicit_cue(t, F.col("normalized_clause")), F.lit(t)) for t in V.TARGETS])
+    taken = F.concat("labelled", F.coalesce("mentioned", F.array().cast("array<string>")), F.array_compact(cues))
+    rows = clauses.join(held, ["study", "idx"], "left")
+    return rows.select("study", "idx", "normalized_clause", "clause", F.array_except(F.array(*map(F.lit, V.TARGETS)), taken).alias("safe_targets"))
+
+
+def contrastive(safe: DataFrame, seed: int, parts: int = 1) -> DataFrame:
+    """(study, idx, clause, target, label): for each clause the least used of its safe targets so far, in hash order.
+
+    With one part the counters are global and sequential, as the rule defines them, and rows stream through one Python
+    task. With more, clauses are dealt by their hash and every part balances its own; targets are then used evenly up to
+    one a part, whatever the size. Ties go by a hash of clause and target.
     """
-    ordered = safe.withColumn("order_hash", R.hash_order(F.col("clause_key"), seed)).repartition(1).sortWithinPartitions("order_hash", "clause_key")
+    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("study").cast("string"), F.col("idx").cast("string"), "normalized_clause"), 256)
+    ordered = safe.withColumn("order_hash", order).repartition(parts, "order_hash").sortWithinPartitions("order_hash")
+    tie = lambda *key: hashlib.sha256("|".join(map(str, (seed, *key))).encode()).hexdigest()
 
     def choose(it):
         used: dict[str, int] = defaultdict(int)
         for pdf in it:
             picked = []
-            for options in pdf["safe_targets"]:
-                best = min(options, key=lambda t: (used[t], t)) if len(options) else None
+            for study, idx, options in zip(pdf["study"], pdf["idx"], pdf["safe_targets"], strict=True):
+                best = min(options, key=lambda t: (used[t], tie(study, idx, t)), default=None)
                 if best is not None:
                     used[best] += 1
                 picked.append(best)
-            yield pdf[["clause_key"]].assign(target=picked, label="no_evidence")
+            yield pdf[["study", "idx", "clause"]].assign(target=picked, label="no_evidence")
 
-    return ordered.mapInPandas(choose, f"clause_key {safe.schema['clause_key'].dataType.simpleString()}, target string, label string")
+    kind = lambda c: safe.schema[c].dataType.simpleString()
+    return ordered.mapInPandas(choose, f"study {kind('study')}, idx {kind('idx')}, clause string, target string, label string")
 
 
 # --- grouped splits
@@ -135,18 +156,21 @@ def rarity_order(counts: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("order_hash", R.hash_order(F.col("split_group"), seed))
 
 
-def place_groups(groups: list[tuple[str, dict[str, int]]], ratios: dict[str, float], moves: int = 200) -> dict[str, str]:
+def place_groups(
+    groups: list[tuple[str, dict[str, int]]], ratios: dict[str, float], moves: int = 200, totals: dict[str, int] | None = None, held: dict[str, dict[str, int]] | None = None
+) -> dict[str, str]:
     """Greedy placement: each group goes where the squared normalized deviation from the targets grows least.
 
-    Then at most ``moves`` groups, taken in the same order, change their split where that lowers the total,
+    ``totals`` and ``held`` (features by split) count what is placed already besides these groups. Then at most ``moves`` groups, taken in the same order, change their split where that lowers the total,
     and a split that got nothing takes the smallest group of the fullest one.
     """
     check_ratios(ratios)
-    totals: dict[str, int] = defaultdict(int)
-    for _, features in groups:
-        for f, n in features.items():
-            totals[f] += n
-    held = {s: defaultdict(int) for s in ratios}
+    if totals is None:
+        totals = defaultdict(int)
+        for _, features in groups:
+            for f, n in features.items():
+                totals[f] += n
+    held = {s: defaultdict(int) for s in ratios} if held is None else held
     weight = lambda f: 4.0 if f == "__studies__" else 1.0
 
     def cost(split: str, f: str, n: int) -> float:
@@ -177,7 +201,7 @@ def place_groups(groups: list[tuple[str, dict[str, int]]], ratios: dict[str, flo
         if left and best is not None and grow[best] < falls - 1e-15:
             move(name, features, best)
             left -= 1
-    for empty in [s for s in ratios if s not in out.values()]:
+    for empty in [s for s in ratios if s not in out.values() and not held[s].get("__studies__")]:
         fullest = max(ratios, key=lambda s: (sum(x == s for x in out.values()), s))
         mine = [(f.get("__studies__", 0), n, f) for n, f in groups if out[n] == fullest]
         if len(mine) > 1:
@@ -186,29 +210,49 @@ def place_groups(groups: list[tuple[str, dict[str, int]]], ratios: dict[str, flo
     return out
 
 
-def assign_splits(studies: DataFrame, key: str, family: str, features: list[str], seed: int = 20260818, ratios: dict[str, float] | None = None, exact: int = 200_000) -> DataFrame:
-    """Adds ``split_group`` and ``split``; a family never spans two splits.
+def assign_splits(studies: DataFrame, key: str, family: str, features: list[str], seed: int = 20260818, ratios: dict[str, float] | None = None) -> DataFrame:
+    """Adds ``split_group`` and ``split``; a family never spans two splits. One rule for every size.
 
-    Only counts per group reach the driver, and only of the ``exact`` groups that matter most to balance
-    (families and groups of rare features first); all others fall by their hash, which is balanced by
-    their sheer number. Every study gets a split either way.
+    Groups with equal features are interchangeable, so they are placed by class: of the m groups of a class every split
+    gets the whole part of m times its ratio, in hash order, and the fewer than three that are left over are placed one
+    by one by the greedy objective, given all that is placed already. Only classes (feature vectors, not groups) and
+    left-over groups reach the driver.
     """
     ratios = ratios or SPLITS
     check_ratios(ratios)
+    spark = studies.sparkSession
     grouped = split_groups(studies, key, family)
     counts = group_features(grouped, features)
-    order = rarity_order(counts, seed)
-    top = order.orderBy(F.desc("rarity"), F.desc("studies"), "order_hash").limit(exact)
-    rows = top.join(counts, "split_group").groupBy("split_group", "rarity", "studies", "order_hash").agg(F.map_from_entries(F.collect_list(F.struct("feature", "n"))).alias("f")).collect()
-    rows.sort(key=lambda r: (-(r["rarity"] or 0.0), -r["studies"], r["order_hash"]))
-    placed = place_groups([(r["split_group"], r["f"]) for r in rows], ratios)
-    table = studies.sparkSession.createDataFrame(list(placed.items()) or [("", "train")], "split_group string, placed string")
-    point = F.conv(F.substring(R.hash_order(F.col("split_group"), seed), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    by_hash, edge = F.lit(list(ratios)[-1]), 1.0
-    for s in reversed(list(ratios)):
-        by_hash = F.when(point < edge, F.lit(s)).otherwise(by_hash)
-        edge -= ratios[s]
-    return grouped.join(table, "split_group", "left").withColumn("split", F.coalesce("placed", by_hash)).drop("placed")
+    groups = counts.groupBy("split_group").agg(F.array_sort(F.collect_list(F.struct("feature", "n"))).alias("f"))
+    groups = groups.select("split_group", "f", F.sha2(F.to_json("f"), 256).alias("class"), R.hash_order(F.col("split_group"), seed).alias("order_hash"))
+    groups = groups.withColumn("bucket", F.substring("order_hash", 1, 3))  # a class is ranked by 4,096 buckets and inside them
+    sizes = groups.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("class", "bucket", (F.sum("n").over(Window.partitionBy("class").orderBy("bucket")) - F.col("n")).alias("before"))
+    classes = groups.groupBy("class").agg(F.count(F.lit(1)).alias("m"), F.first("f").alias("f"))
+    inside = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("order_hash", "split_group")) - 1
+    ranked = groups.drop("f").withColumn("at", inside).join(before, ["class", "bucket"]).join(classes, "class").withColumn("rank", F.col("before") + F.col("at"))
+    bulk, edge = F.lit(None).cast("string"), F.lit(0)
+    for s, r in ratios.items():
+        share = F.floor(F.col("m") * r + 1e-9)
+        bulk = bulk if s is None else F.coalesce(bulk, F.when(F.col("rank") < edge + share, F.lit(s)))
+        edge = edge + share
+    ranked = ranked.withColumn("bulk", bulk)
+    left = ranked.where("bulk IS NULL").select("split_group", "order_hash", "f").collect()  # fewer than one a split and class
+    known = classes.select("m", "f").collect()
+    totals: dict[str, int] = defaultdict(int)
+    held: dict[str, dict[str, int]] = {s: defaultdict(int) for s in ratios}
+    for c in known:
+        for feature, n in c["f"]:
+            totals[feature] += n * c["m"]
+            for s, r in ratios.items():
+                held[s][feature] += n * math.floor(c["m"] * r + 1e-9)
+    rarity = lambda f: sum(n / totals[x] for x, n in f if x != "__studies__")
+    rest = [(x["split_group"], x["order_hash"], [(i["feature"], i["n"]) for i in x["f"]]) for x in left]
+    rest.sort(key=lambda x: (-rarity(x[2]), -dict(x[2])["__studies__"], x[1]))
+    placed = place_groups([(g, dict(f)) for g, _, f in rest], ratios, totals=totals, held=held)
+    table = spark.createDataFrame(list(placed.items()) or [("", next(iter(ratios)))], "split_group string, placed string")
+    of_group = ranked.select("split_group", "bulk").join(table, "split_group", "left").select("split_group", F.coalesce("bulk", "placed").alias("split"))
+    return grouped.join(of_group, "split_group", "left")
 
 
 def leaks(assigned: DataFrame, columns: list[str]) -> DataFrame:
@@ -223,7 +267,3 @@ def leaks(assigned: DataFrame, columns: list[str]) -> DataFrame:
 def softmax(logits: Column) -> Column:
     """Probabilities of an array of logits."""
     return X.let(F.transform(logits, lambda x: F.exp(x - F.array_max(logits))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
-
-
-def expected_share(n: int, total: int) -> float:
-    return math.nan if not total else n / total

@@ -1,8 +1,8 @@
 """The two corpora that the registered queries run on.
 
-``docs`` is the documents table as it is. ``reports`` gives every document one of a list of template
-reports by its id, and official labels to every twentieth, so that detection has something to find at
-any scale. SQL fragments for the same tables stand beside them.
+``docs`` is the documents table as it is. ``reports`` gives every document one of the reports of
+:mod:`reportmill.plans.gold` by its id, and official labels to every twentieth, so that detection has
+something to find at any scale. SQL fragments for the same tables stand there.
 """
 
 from __future__ import annotations
@@ -11,26 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportmill.functions import vocabulary as V
+from reportmill.plans.gold import TEMPLATES
 from reportmill.sources.tables import table
 
-#: (report, {target: status}); targets that are not named are unknown.
-TEMPLATES = (
-    ("Findings: ACL tear.", {"ACL": "positive"}),
-    ("Findings: No ACL tear.", {"ACL": "negative"}),
-    ("Possible ACL tear.", {"ACL": "uncertain"}),
-    ("Findings: small joint effusion.", {"Effusion": "positive"}),
-    ("Clinical history: suspected ACL tear. Findings: ACL intact.", {"ACL": "negative"}),
-    ("Findings: Lateral meniscus tear without extrusion.", {"Lateral Meniscus": "positive"}),
-    ("Findings: Medial meniscus intact.", {"Medial Meniscus": "negative"}),
-    ("Findings: no joint effusion. MCL intact.", {"Effusion": "negative", "MCL": "negative"}),
-    ("Nalaz: Sitna Baker cista.", {"Baker's": "positive"}),
-    ("Findings: fracture of the tibial plateau.", {"Fracture": "positive"}),
-    ("Findings: bone contusion.", {"Contusion": "positive"}),
-    ("Findings: synovitis.", {"Synovitis": "positive"}),
-    ("Retinacular defect not seen.", {}),
-)
-
-
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("study"), F.col("text").alias("report"), "lang", "source", "n_chars")
 
@@ -43,25 +26,6 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("study", "report", *labels)
 
 
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-TARGETS_SQL = "targets(ord, target) AS (VALUES " + ", ".join(f"({i}, {_quoted(t)})" for i, t in enumerate(V.TARGETS)) + ")"
-REPORTS_SQL = (
-    "templates(tid, report) AS (VALUES " + ", ".join(f"({i}, {_quoted(t)})" for i, (t, _) in enumerate(TEMPLATES)) + "), "
-    f"reports AS (SELECT doc_id AS study, report FROM documents JOIN templates ON tid = doc_id % {len(TEMPLATES)})"
-)
-#: (study, target, ord, status, official) of the reports, from hand-derived expectations.
-GOLD_SQL = (
-    TARGETS_SQL + ", " + REPORTS_SQL + ", expected(tid, target, status) AS (VALUES "
-    + ", ".join(f"({i}, {_quoted(t)}, {_quoted(s)})" for i, (_, e) in enumerate(TEMPLATES) for t, s in e.items())
-    + f"), gold AS (SELECT d.doc_id AS study, t.target, t.ord, coalesce(e.status, 'unknown') AS status, "
-    f"CASE WHEN d.doc_id % 20 = 0 THEN (d.doc_id // 20 + t.ord) % 2 END AS official "
-    f"FROM documents d CROSS JOIN targets t LEFT JOIN expected e ON e.tid = d.doc_id % {len(TEMPLATES)} AND e.target = t.target)"
-)
-#: The same under the base policy, which does not know this inflected name.
-BASE_SQL = GOLD_SQL.replace(f"({[i for i, (_, e) in enumerate(TEMPLATES) if "Baker's" in e][0]}, 'Baker''s', 'positive')", "(-1, 'Baker''s', 'positive')")
 #: Normal form of documents in SQL (their letters need no fold beyond these).
 NORM_SQL = (
     r"regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(replace(replace(translate(text, 'ıİđĐø', 'iiddo'), 'ß', 'ss'), 'æ', 'ae'))), "

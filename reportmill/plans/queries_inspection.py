@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reportmill.functions import text as X
+from reportmill.functions import vocabulary as V
 from reportmill.operators import inspection as I
 from reportmill.operators import labelling as L
 from reportmill.operators import metrics as M
+from reportmill.operators import profile as P
 from reportmill.operators import relational as R
 from reportmill.operators import training as T
-from reportmill.plans.corpora import GOLD_SQL, docs, reports
-from reportmill.plans.queries_labels import BASE_WITH, WITH
+from reportmill.plans.corpora import docs, reports
+from reportmill.plans.queries_labels import WITH
 from reportmill.plans.registry import register
 from reportmill.plans.shipping import ship
-from reportmill.sources.tables import table
+from reportmill.sources.tables import header_value, table
 
 
 def _rows(spark, d):
@@ -25,68 +27,125 @@ def _inventory(spark, d):
     return I.evidence(_rows(spark, d))
 
 
-_FOUND = " FROM final WHERE status <> 'unknown'"
+_ROUNDED = {c: 6 for c in ("mean", "std", "median", "min", "max", *R.PERCENTS)}
+_DESCRIBED = ", ".join(
+    ["count(v) AS n", "round(avg(v), 6) AS mean", "round(stddev_samp(v), 6) AS std", "round(quantile_cont(v, 0.5), 6) AS median", "round(min(v), 6) AS min", "round(max(v), 6) AS max"]
+    + [f"round(quantile_cont(v, {p}), 6) AS {n}" for n, p in R.PERCENTS.items()]
+)
 
 
-@register("agg_34_evidence_per_pair", WITH + "SELECT study, target, status, true AS winning" + _FOUND)
+def _described(df, *keys):
+    return df.select(*keys, "n", *[F.round(c, k).alias(c) for c, k in _ROUNDED.items()])
+
+
+@register("agg_34_evidence_per_pair", WITH + "SELECT DISTINCT study, target, status, winning FROM inventory")
 def agg_34(spark, d):
     return _inventory(spark, d).select("study", "target", "status", "winning").distinct()
 
 
-@register("agg_17_detector_tables", None)
+@register(
+    "agg_17_detector_tables",
+    WITH + """, x AS (SELECT study, target, status, unnest(detectors) AS detector FROM inventory)
+    SELECT detector, status, target, CASE grouping(status, target) WHEN 3 THEN 'detector' WHEN 1 THEN 'detector+status' ELSE 'detector+status+target' END AS level,
+      count(*) AS n, count(DISTINCT study) AS n_studies, count(DISTINCT study || target) AS n_pairs
+    FROM x GROUP BY GROUPING SETS ((detector), (detector, status), (detector, status, target))""",
+)
 def agg_17(spark, d):
     return I.detector_counts(_inventory(spark, d))
 
 
-@register("agg_18_confidence", None)
+@register(
+    "agg_18_confidence",
+    WITH + f""", x AS (SELECT confidence AS v, unnest(['status', 'target', 'language', 'detectors', 'support']) AS dimension, unnest([status, target, language_group, detector_combination, view_support]) AS value FROM inventory)
+    SELECT dimension, value, {_DESCRIBED} FROM x GROUP BY dimension, value""",
+)
 def agg_18(spark, d):
-    return I.confidence_by_dimension(_inventory(spark, d))
+    return _described(I.confidence_by_dimension(_inventory(spark, d)), "dimension", "value")
 
 
-@register("agg_19_phenotypes", None)
+@register("agg_19_phenotypes", WITH + "SELECT target, status, phenotype, count(*) AS n, count(DISTINCT study) AS n_studies, count(*) / sum(count(*)) OVER (PARTITION BY target, status) AS share FROM inventory GROUP BY target, status, phenotype")
 def agg_19(spark, d):
     return I.phenotype_shares(_inventory(spark, d))
 
 
-@register("agg_20_rules", None)
+@register(
+    "agg_20_rules",
+    WITH + """, x AS (SELECT unnest(CASE WHEN len(rules) = 0 THEN ['<no_explicit_rule>'] ELSE rules END) AS rule FROM inventory), c AS (SELECT rule, count(*) AS n FROM x GROUP BY rule)
+    SELECT rule, n, n / sum(n) OVER () AS share, sum(n) OVER (ORDER BY n DESC, rule ROWS UNBOUNDED PRECEDING) / sum(n) OVER () AS cumulative_share FROM c""",
+)
 def agg_20(spark, d):
     return I.rule_shares(_inventory(spark, d))
 
 
-@register("agg_25_conflicts", "SELECT doc_id AS study, '' AS target FROM documents WHERE false")
+@register(
+    "agg_25_conflicts",
+    WITH + """SELECT study, target, any_value(r.status) AS status, round(any_value(greatest(0.4, top - 0.18)), 6) AS confidence, array_to_string(list_sort(list(DISTINCT i.status)), '+') AS statuses,
+      array_to_string(list_sort(list(DISTINCT detector_combination)), '|') AS detector_combinations FROM inventory i JOIN resolved r USING (tid, target) WHERE r.conflict GROUP BY study, target""",
+)
 def agg_25(spark, d):
-    return I.conflicts(_rows(spark, d), _inventory(spark, d)).select("study", "target")
+    found = I.conflicts(_rows(spark, d), _inventory(spark, d))
+    return found.select("study", "target", "status", "confidence", F.array_join("statuses", "+").alias("statuses"), F.array_join("detector_combinations", "|").alias("detector_combinations"))
+
+
+@register(
+    "agg_26_collective_support",
+    WITH + """SELECT 'mention' AS unit, target, status, rule, count(*) AS n, count(DISTINCT study) AS n_studies FROM mention JOIN docs_t USING (tid) WHERE collective GROUP BY ALL
+    UNION ALL SELECT 'proposition', target, status, rule, count(*), count(DISTINCT study) FROM (SELECT study, target, status, unnest(rules) AS rule FROM prop JOIN docs_t USING (tid) WHERE collective) GROUP BY ALL""",
+)
+def agg_26(spark, d):
+    found = L.mentions(reports(ship(spark), d))
+    return I.collective_support(found, L.propositions(found))
 
 
-@register("agg_27_view_support", None)
+@register("agg_27_view_support", WITH + "SELECT target, status, view_support, count(*) AS n, count(DISTINCT study) AS n_studies FROM inventory GROUP BY ALL")
 def agg_27(spark, d):
     return I.view_support(_inventory(spark, d))
 
 
-@register("agg_28_negations", WITH + "SELECT target, count(DISTINCT study) AS n_studies FROM final WHERE status = 'negative' GROUP BY target")
+_NEGATION = r"""CASE WHEN has_span AND regexp_matches(evidence, 'saptanmamistir|aucune') THEN 'postposed' WHEN has_span AND regexp_matches(evidence, '\b(no|pas de)\b') THEN 'preposed'
+    WHEN regexp_matches(evidence, 'intact|normal|preserved') THEN 'explicit_normality' ELSE 'other_implemented_negation' END"""
+
+
+@register("agg_28_negations", WITH + f"SELECT target, {_NEGATION} AS negation, count(*) AS n, count(DISTINCT study) AS n_studies FROM inventory WHERE status = 'negative' GROUP BY ALL")
 def agg_28(spark, d):
-    return _inventory(spark, d).where("status = 'negative'").groupBy("target").agg(F.count_distinct("study").alias("n_studies"))
+    return I.negations(_inventory(spark, d)).drop("first_example")
+
 
+@register("txt_25_negation_types", WITH + f"SELECT DISTINCT evidence, phenotype, {_NEGATION} AS negation FROM inventory WHERE status = 'negative'")
+def txt_25(spark, d):
+    return _inventory(spark, d).where("status = 'negative'").select("evidence", "phenotype", I.negation_type(F.col("evidence"), F.col("spans")).alias("negation")).distinct()
 
-@register("agg_29_uncertainties", WITH + "SELECT target, 'possible' AS marker, count(DISTINCT study) AS n_studies FROM final WHERE status = 'uncertain' GROUP BY target")
+
+@register("agg_29_uncertainties", WITH + "SELECT target, regexp_extract(evidence, 'possibl[ey]') AS marker, count(*) AS n, count(DISTINCT study) AS n_studies FROM inventory WHERE status = 'uncertain' GROUP BY ALL")
 def agg_29(spark, d):
-    return I.uncertainties(_inventory(spark, d)).select("target", "marker", "n_studies")
+    return I.uncertainties(_inventory(spark, d))
 
 
-@register("agg_31_clause_usage", None)
+@register(
+    "agg_31_clause_usage",
+    WITH + """, used AS (SELECT DISTINCT tid, unnest(source_indices) AS idx FROM chosen), said AS (SELECT DISTINCT tid, unnest(sources) AS idx FROM mention)
+    SELECT CASE WHEN u.idx IS NOT NULL THEN 'selected' WHEN s.idx IS NOT NULL THEN 'mentioned' ELSE 'silent' END AS usage, diagnostic, count(*) AS n, count(DISTINCT study) AS n_studies
+    FROM clause c JOIN docs_t USING (tid) LEFT JOIN used u ON u.tid = c.tid AND u.idx = c.idx LEFT JOIN said s ON s.tid = c.tid AND s.idx = c.idx GROUP BY ALL""",
+)
 def agg_31(spark, d):
     docs_ = reports(ship(spark), d)
     return I.clause_usage(L.clauses(docs_), L.mentions(docs_), _inventory(spark, d))
 
 
-@register("agg_13_unit_counts", None)
+@register(
+    "agg_13_unit_counts",
+    WITH + f""", per AS (SELECT unnest(['clauses', 'strict_views', 'linked_views', 'mentions', 'propositions']) AS unit, unnest([
+        (SELECT count(*) FROM clause c WHERE c.tid = d.tid), (SELECT count(*) FROM view v WHERE v.tid = d.tid AND kind = 'strict'), (SELECT count(*) FROM linked v WHERE v.tid = d.tid),
+        (SELECT count(*) FROM mention m WHERE m.tid = d.tid), (SELECT count(*) FROM prop p WHERE p.tid = d.tid)]) AS v FROM docs_t d)
+    SELECT unit, {_DESCRIBED}, CAST(sum(v) AS BIGINT) AS total FROM per GROUP BY unit""",
+)
 def agg_13(spark, d):
     r = reports(ship(spark), d)
     found = L.mentions(r)
-    return I.unit_counts(r, L.clauses(r), L.text_views(r), found, L.propositions(found))
+    return _described(I.unit_counts(r, L.clauses(r), L.text_views(r), found, L.propositions(found)), "unit", "total")
 
 
-_CHECKS = "positive_score negative_score unknown_is_empty resolved_has_evidence evidence_is_provenance first_evidence_wins at_most_three detectors_known confidence_bound conflict_is_lower spans_in_text evidence_in_views".split()
+_CHECKS = "positive_score negative_score unknown_is_empty resolved_has_evidence evidence_is_provenance first_evidence_wins at_most_three detectors_known summary_fields conflict_is_lower spans_in_text evidence_in_views".split()
 
 
 @register("agg_04_audit", f"SELECT unnest({_CHECKS}) AS \"check\", CAST(0 AS BIGINT) AS issues")
@@ -110,7 +169,7 @@ def prj_06(spark, d):
     return _rows(spark, d).select("study", "target", F.col("status").isin("positive", "negative").alias("resolved"))
 
 
-@register("prj_07_conflict_predicate", WITH + "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_conflict FROM final")
+@register("prj_07_conflict_predicate", WITH + "SELECT count(*) AS n, count(*) FILTER (conflict) AS n_conflict FROM final LEFT JOIN resolved USING (tid, target)")
 def prj_07(spark, d):
     return _rows(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rationale").contains("conflict")).alias("n_conflict"))
 
@@ -127,7 +186,7 @@ def prj_10(spark, d):
     return rows.select("conv_id", I.support_scope(F.col("kinds")).alias("scope"))
 
 
-@register("prj_11_resolution_mode", WITH + "SELECT study, target, CASE WHEN status = 'unknown' THEN 'unresolved' ELSE 'target_specific' END AS mode FROM final")
+@register("prj_11_resolution_mode", WITH + "SELECT study, target, CASE WHEN conflict THEN 'conflict' WHEN whole THEN 'collective' WHEN f.status = 'unknown' THEN 'unresolved' ELSE 'target_specific' END AS mode FROM final f LEFT JOIN resolved r USING (tid, target)")
 def prj_11(spark, d):
     return _rows(spark, d).select("study", "target", I.resolution_mode(F.col("rationale")).alias("mode"))
 
@@ -154,13 +213,16 @@ def txt_20(spark, d):
     return docs(spark, d).select("study", F.size(X.merge_spans(X.spans(n, X.term_pattern(("the",))), X.spans(n, r"(?U)\b(?:the|th\w+)\b"))).alias("n_spans"))
 
 
-@register("txt_22_phenotype", WITH + "SELECT DISTINCT target, status FROM final WHERE status <> 'unknown'")
+_PHENOTYPES = r"""CASE WHEN status = 'negative' THEN 'abnormality_absent' WHEN regexp_matches(evidence, 'tear|torn|rupture|rotura') THEN 'tear' WHEN regexp_matches(evidence, 'fracture') THEN 'fracture'
+    WHEN regexp_matches(evidence, 'degenerat|mucoid') THEN 'degeneration' WHEN regexp_matches(evidence, 'chondrosis|cartilage|kraakbeen') THEN 'chondral_abnormality' ELSE 'abnormality' END"""
+
+
+@register("txt_22_phenotype", WITH + f"SELECT DISTINCT evidence, status, {_PHENOTYPES} AS phenotype FROM inventory")
 def txt_22(spark, d):
-    rows = _inventory(spark, d).withColumn("again", I.phenotype(F.col("evidence"), F.col("status")))
-    return rows.where("again IS NOT NULL").select("target", "status").distinct()
+    return _inventory(spark, d).select("evidence", "status", I.phenotype(F.col("evidence"), F.col("status")).alias("phenotype")).distinct()
 
 
-@register("txt_26_uncertainty_markers", f"WITH {GOLD_SQL} SELECT study, m AS marker FROM reports, (VALUES ('possible'), ('suspected')) v(m) WHERE contains(lower(report), m)")
+@register("txt_26_uncertainty_markers", WITH + "SELECT study, m AS marker FROM docs_t, (VALUES ('possible'), ('possibly'), ('suspected')) v(m) WHERE regexp_matches(lower(report), '\\b' || m || '\\b')")
 def txt_26(spark, d):
     rows = reports(spark, d).select("study", F.explode(I.uncertainty_markers(X.normalize(F.col("report")))).alias("marker"))
     return rows.where(F.col("marker") != I.DEFAULT_MARKER)
@@ -171,10 +233,10 @@ def txt_28(spark, d):
     return docs(spark, d).select("study", X.jaccard(F.array_distinct(X.tokens(F.col("report"))), F.array_distinct(X.tokens(F.lower("report")))).alias("similarity"))
 
 
-@register("txt_30_explicit_cue", f"WITH {GOLD_SQL} SELECT study, bool_or(target = 'ACL' AND status <> 'unknown') AS names_acl, bool_or(target = 'Effusion' AND status <> 'unknown') AS names_effusion FROM gold GROUP BY study")
+@register("txt_30_explicit_cue", WITH + r"SELECT study, regexp_matches(lower(report), '\bacl\b') AS names_acl, regexp_matches(lower(report), 'effusion|sıvı|gelenkerguss') AS names_effusion, regexp_matches(lower(report), '(medial|lateral)\p{L}* menis') AS names_meniscus FROM docs_t")
 def txt_30(spark, d):
     n = X.normalize(F.col("report"))
-    return reports(spark, d).select("study", I.explicit_cue("ACL", n).alias("names_acl"), I.explicit_cue("Effusion", n).alias("names_effusion"))
+    return reports(spark, d).select("study", I.explicit_cue("ACL", n).alias("names_acl"), I.explicit_cue("Effusion", n).alias("names_effusion"), (I.explicit_cue("Medial Meniscus", n) | I.explicit_cue("Lateral Meniscus", n)).alias("names_meniscus"))
 
 
 @register("txt_32_report_length", r"SELECT doc_id AS study, CAST(length(text) AS INT) AS characters, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS INT) AS words FROM documents")
@@ -188,7 +250,7 @@ def agg_16(spark, d):
     return rows.groupBy("hypothesis").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("agg_39_agreement", BASE_WITH + ", b AS (SELECT study, target, status AS old FROM final), n AS (SELECT target, count(*) AS n, count(*) FILTER (old = CASE WHEN target = 'Baker''s' AND study % 13 = 8 THEN 'positive' ELSE old END) AS agree FROM b GROUP BY ROLLUP (target)) SELECT coalesce(target, 'all') AS target, n, agree, agree / n AS rate FROM n")
+@register("agg_39_agreement", WITH + ", n AS (SELECT target, count(*) AS n, count(*) FILTER (coalesce(b.status, 'unknown') = f.status) AS agree FROM final f LEFT JOIN base_resolved b USING (tid, target) GROUP BY ROLLUP (target)) SELECT coalesce(target, 'all') AS target, n, agree, agree / n AS rate FROM n")
 def agg_39(spark, d):
     old = L.supervision(reports(ship(spark), d), "v2").select("study", "target", F.col("status").alias("old"))
     both = old.join(_rows(spark, d).select("study", "target", "status"), ["study", "target"])
@@ -239,10 +301,14 @@ def agg_59(spark, d):
     return M.binary_metrics(rows, ["scenario"], F.col("official_label"), F.col("p")).select("scenario", "n", "resolved", "tp", "tn")
 
 
-@register("dst_04_collapse", None)
+@register(
+    "dst_04_collapse",
+    WITH + """, x AS (SELECT study, target, status, detectors, confidence, unnest(source_indices) AS idx FROM inventory)
+    SELECT study, target, idx, status, array_to_string(list_sort(list_distinct(flatten(list(detectors)))), '+') AS detectors, max(confidence) AS confidence, count(*) AS n_merged FROM x GROUP BY study, target, idx, status""",
+)
 def dst_04(spark, d):
     rows = _inventory(spark, d).withColumn("idx", F.explode("source_indices"))
-    return T.collapse(rows, ["study", "target", "idx", "status"])
+    return T.collapse(rows, ["study", "target", "idx", "status"]).withColumns({"detectors": F.array_join("detectors", "+"), "confidence": F.round("confidence", 6)})
 
 
 @register("dst_08_unique_slice", "SELECT min(doc_id) AS doc_id, lang FROM documents GROUP BY text, lang")
@@ -254,3 +320,57 @@ def dst_08(spark, d):
 def jon_24(spark, d):
     manifest = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5).alias("fold"))
     return table(spark, d, "documents").select("doc_id").join(manifest, "doc_id")
+
+
+@register(
+    "agg_33_example_structure",
+    WITH + """, w AS (SELECT * FROM inventory WHERE winning), r AS (SELECT target, status, detector || '::' || rule AS dr FROM (SELECT target, status, unnest(detectors) AS detector, rules FROM w) x,
+      unnest(CASE WHEN len(rules) = 0 THEN ['<no_explicit_rule>'] ELSE rules END) u(rule)),
+    c AS (SELECT target, status, string_agg(DISTINCT dr, '|' ORDER BY dr) AS detector_rules, count(DISTINCT dr) AS n_detector_rules FROM r GROUP BY ALL)
+    SELECT target, status, count(*) AS n, count(DISTINCT evidence) AS n_evidence, count(DISTINCT study) AS n_studies, count(DISTINCT tid) AS n_exact_families, count(DISTINCT tid) AS n_numeric_families,
+      string_agg(DISTINCT language_group, '|' ORDER BY language_group) AS languages, any_value(detector_rules) AS detector_rules, any_value(n_detector_rules) AS n_detector_rules
+    FROM w JOIN c USING (target, status) GROUP BY target, status""",
+)
+def agg_33(spark, d):
+    families = P.families(reports(spark, d).select("study", "report"), "report")
+    return I.example_structure(_inventory(spark, d), families).withColumns({c: F.array_join(c, "|") for c in ("languages", "detector_rules")})
+
+
+@register(
+    "snk_06_study_distribution",
+    WITH + f""", p AS (SELECT study, count(*) AS np, count(DISTINCT evidence) AS ne FROM prop JOIN docs_t USING (tid) GROUP BY study),
+    s AS (SELECT study, count(*) FILTER (status IN ('positive', 'negative')) AS b, count(*) FILTER (status = 'positive') AS a1, count(*) FILTER (status = 'negative') AS a2, count(*) FILTER (status = 'uncertain') AS a3, count(*) FILTER (status = 'unknown') AS a4 FROM final GROUP BY study),
+    x AS (SELECT unnest(['binary_resolved_targets', 'positive_targets', 'negative_targets', 'uncertain_targets', 'unknown_targets', 'propositions', 'unique_evidence_fragments']) AS measure, unnest([b, a1, a2, a3, a4, coalesce(np, 0), coalesce(ne, 0)]) AS v FROM s LEFT JOIN p USING (study))
+    SELECT measure, {_DESCRIBED} FROM x GROUP BY measure""",
+)
+def snk_06(spark, d):
+    found = L.mentions(reports(ship(spark), d))
+    return _described(I.study_distribution(_rows(spark, d), L.propositions(found)), "measure")
+
+
+_UNKNOWN_GOLD = "u AS (SELECT f.*, t.language_group FROM final f JOIN docs_t t USING (study) WHERE status = 'unknown' AND official_label IS NOT NULL)"
+
+
+@register("agg_61_weight_sensitivity", WITH + f", {_UNKNOWN_GOLD} SELECT w AS weight, w * count(*) AS added_examples, w * sum(official_label) AS false_negative_mass, sum(official_label) / count(*) AS incorrect_share FROM u, (SELECT unnest([0.10::DOUBLE, 0.25, 0.50, 1.00]) AS w) GROUP BY w")
+def agg_61(spark, d):
+    return I.weight_sensitivity(_rows(spark, d))
+
+
+@register("agg_61_language_safety", WITH + f", {_UNKNOWN_GOLD} SELECT language_group, count(*) AS unknown_n, CAST(sum(official_label) AS BIGINT) AS false_negative, CAST(count(*) - sum(official_label) AS BIGINT) AS correct_negative, (count(*) - sum(official_label)) / count(*) AS safety FROM u GROUP BY language_group")
+def agg_61b(spark, d):
+    return I.language_safety(_rows(spark, d))
+
+
+@register("agg_62_positive_misses", WITH + ", m AS (SELECT t.language_group, target FROM final JOIN docs_t t USING (study) WHERE official_label = 1 AND status IN ('unknown', 'uncertain')) SELECT language_group, " + ", ".join("count(*) FILTER (target = '" + t.replace("'", "''") + f"') AS \"{t}\"" for t in V.TARGETS) + " FROM m GROUP BY language_group")
+def agg_62(spark, d):
+    return I.positive_misses(_rows(spark, d))
+
+
+@register("det_17_guard_keys", WITH + "SELECT DISTINCT study, idx, target FROM (SELECT study, target, unnest(sources) AS idx FROM mention JOIN docs_t USING (tid))")
+def det_17(spark, d):
+    return T.guard_keys(L.mentions(reports(ship(spark), d)))
+
+
+@register("src_07_header_values", r"SELECT conv_id, nullif(trim(array_to_string(list_sort(list(role)), '\')), '') AS roles FROM conversations GROUP BY conv_id")
+def src_07(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("role")).alias("r")).select("conv_id", header_value(F.col("r")).alias("roles"))

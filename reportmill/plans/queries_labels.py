@@ -10,7 +10,8 @@ from reportmill.functions import vocabulary as V
 from reportmill.operators import labelling as L
 from reportmill.operators import metrics as M
 from reportmill.operators import relational as R
-from reportmill.plans.corpora import BASE_SQL, GOLD_SQL, REPORTS_SQL, docs, reports
+from reportmill.plans.corpora import docs, reports
+from reportmill.plans.gold import BASE_SQL, GOLD_SQL
 from reportmill.plans.registry import register
 from reportmill.plans.shipping import ship
 from reportmill.sources.tables import table
@@ -18,7 +19,7 @@ from reportmill.sources.tables import table
 STATUS = ("positive", "negative", "uncertain", "unknown")
 LABEL_SQL = "CASE status WHEN 'positive' THEN 1 WHEN 'negative' THEN 0 END"
 FINAL_SQL = (
-    f"final AS (SELECT study, target, ord, status, official AS official_label, {LABEL_SQL} AS derived_label, coalesce(official, {LABEL_SQL}) AS final_label, "
+    f"final AS (SELECT study, tid, target, ord, status, official AS official_label, {LABEL_SQL} AS derived_label, coalesce(official, {LABEL_SQL}) AS final_label, "
     f"CASE WHEN official IS NOT NULL THEN 'official' WHEN status IN ('positive', 'negative') THEN 'report_derived' ELSE 'unresolved' END AS final_source FROM gold)"
 )
 WITH = f"WITH {GOLD_SQL}, {FINAL_SQL} "
@@ -57,13 +58,9 @@ def prj_04(spark, d):
     return L.output_violations(_v3(spark, d))
 
 
-@register(
-    "txt_06_segment",
-    rf"""WITH {REPORTS_SQL}, f AS (SELECT study, unnest(string_split(trim(regexp_replace(lower(report), '\.\s*', '.|', 'g'), '|'), '|')) AS text, generate_subscripts(string_split(trim(regexp_replace(lower(report), '\.\s*', '.|', 'g'), '|'), '|'), 1) - 1 AS idx FROM reports)
-    SELECT study, CAST(idx AS INT) AS idx, text FROM f""",
-)
+@register("txt_06_segment", WITH + "SELECT study, idx, c.text, section, diagnostic FROM docs_t JOIN clause c USING (tid)")
 def txt_06(spark, d):
-    return L.clauses(reports(ship(spark), d)).select("study", "idx", "text")
+    return L.clauses(reports(ship(spark), d)).select("study", "idx", "text", "section", "diagnostic")
 
 
 @register("txt_02_line_join", None)
@@ -71,7 +68,7 @@ def txt_02(spark, d):
     return docs(spark, d).select("study", X.sha256(L.joined_lines(F.col("report"))).alias("joined_sha256"))
 
 
-@register("txt_09_views", None)
+@register("txt_09_views", WITH + "SELECT study, view_no, kind, v.text, section, diagnostic FROM docs_t JOIN view v USING (tid)")
 def txt_09(spark, d):
     return L.text_views(reports(ship(spark), d)).select("study", "view_no", "kind", "text", "section", "diagnostic")
 
@@ -86,35 +83,137 @@ def det_11(spark, d):
     return _v3(spark, d).groupBy("status", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("det_05_base_confidence", BASE_WITH + "SELECT study, target, CAST(CASE status WHEN 'positive' THEN 0.9 WHEN 'uncertain' THEN 0.5 WHEN 'negative' THEN 0.85 ELSE 0 END AS DOUBLE) AS confidence FROM final")
+_BASE_CONFIDENCE = """CASE g.status WHEN 'positive' THEN CASE WHEN conflict THEN CASE WHEN whole THEN 0.65 ELSE 0.70 END WHEN whole THEN 0.80 ELSE 0.90 END
+    WHEN 'uncertain' THEN CASE WHEN whole THEN 0.45 ELSE 0.50 END WHEN 'negative' THEN CASE WHEN whole THEN 0.75 ELSE 0.85 END ELSE 0 END"""
+
+
+@register("det_05_base_confidence", BASE_WITH + f"SELECT study, g.target, CAST({_BASE_CONFIDENCE} AS DOUBLE) AS confidence, coalesce(conflict, false) AS conflict FROM gold g LEFT JOIN base_resolved r ON r.tid = g.tid AND r.target = g.target")
 def det_05(spark, d):
-    return _v2(spark, d).select("study", "target", "confidence")
+    return _v2(spark, d).select("study", "target", "confidence", F.col("rationale").rlike("conflicting|retained with negative").alias("conflict"))
 
 
-@register("det_01_base_mentions", None)
-def det_01(spark, d):
+BASE_ROWS = "SELECT study, ord, target, status, text, collective, rule FROM base JOIN docs_t USING (tid)"
+
+
+def _base(spark, d):
     return L.base_mentions(reports(ship(spark), d))
 
 
-@register("det_08_mentions", None)
+def _mentions(spark, d):
+    return L.mentions(reports(ship(spark), d))
+
+
+@register("det_01_base_mentions", BASE_WITH + BASE_ROWS)
+def det_01(spark, d):
+    return _base(spark, d)
+
+
+_DIRECT_SQL = "('Effusion', 'Synovitis', 'Baker''s', 'Contusion', 'Fracture')"
+
+
+@register("det_02_direct_mentions", BASE_WITH + BASE_ROWS + f" WHERE target IN {_DIRECT_SQL} AND NOT collective")
+def det_02(spark, d):
+    return _base(spark, d).where(F.col("target").isin(*V.DIRECT_TERMS) & ~F.col("collective"))
+
+
+@register("det_03_tricompartment", BASE_WITH + BASE_ROWS + " WHERE text LIKE '%tricompartmental%' AND target LIKE '% OA'")
+def det_03(spark, d):
+    return _base(spark, d).where(F.col("target").endswith(" OA") & X.contains_terms(F.col("text"), V.TRICOMPARTMENT_TERMS))
+
+
+@register("det_04_collective", BASE_WITH + BASE_ROWS + " WHERE rule IS NOT NULL")
+def det_04(spark, d):
+    return _base(spark, d).where("collective")
+
+
+MENTION_ROWS = "SELECT study, ord, target, status, phenotype, detector, view_kind, language, conf AS confidence, section, s, e, rule FROM mention JOIN docs_t USING (tid)"
+
+
+def _mention_rows(spark, d):
+    return _mentions(spark, d).select("study", "ord", "target", "status", "phenotype", "detector", "view_kind", "language", F.round("confidence", 6).alias("confidence"), "section", "span.s", "span.e", "rule")
+
+
+@register("det_07_base_branch", WITH + MENTION_ROWS + " WHERE detector IN ('v2_exact', 'v2_collective')")
+def det_07(spark, d):
+    return _mention_rows(spark, d).where(F.col("detector").startswith("v2_"))
+
+
+@register("det_08_mentions", WITH + MENTION_ROWS)
 def det_08(spark, d):
-    return L.mentions(reports(ship(spark), d)).select("study", "ord", "target", "status", "phenotype", "detector", "view_kind", "confidence", "rule")
+    return _mention_rows(spark, d)
+
+
+@register("det_09_structures", WITH + MENTION_ROWS + " WHERE rule IN ('target_local_association', 'target_local_normality')")
+def det_09(spark, d):
+    return _mention_rows(spark, d).where(F.col("rule").startswith("target_local"))
+
+
+@register("det_10_compartments", WITH + MENTION_ROWS + " WHERE rule IN ('compartment_scope', 'compartment_normality')")
+def det_10(spark, d):
+    return _mention_rows(spark, d).where(F.col("rule").startswith("compartment_"))
+
 
+@register("txt_23_decisive_phenotypes", WITH + "SELECT study, target, status, phenotype, count(*) AS n FROM mention JOIN docs_t USING (tid) WHERE s IS NOT NULL GROUP BY study, target, status, phenotype")
+def txt_23(spark, d):
+    return _mentions(spark, d).where("span IS NOT NULL").groupBy("study", "target", "status", "phenotype").agg(F.count(F.lit(1)).alias("n"))
 
-@register("det_12_propositions", None)
+
+_JOINED = "array_to_string({0}, '+') AS {0}"
+_LISTS = ("detectors", "view_kinds", "languages", "sections", "source_indices", "rules")
+
+
+def _joined(c):
+    return F.array_join(F.col(c).cast("array<string>"), "+").alias(c.split(".")[-1])
+
+
+@register("det_12_propositions", WITH + f"SELECT study, target, status, phenotype, evidence, confidence, collective, {', '.join(_JOINED.format(c) for c in _LISTS)} FROM prop JOIN docs_t USING (tid)")
 def det_12(spark, d):
-    return L.propositions(L.mentions(reports(ship(spark), d))).select("study", "target", "status", "phenotype", "evidence", "confidence")
+    return L.propositions(_mentions(spark, d)).select("study", "target", "status", "phenotype", "evidence", F.round("confidence", 6).alias("confidence"), "collective", *map(_joined, _LISTS))
+
+
+@register(
+    "det_13_resolved",
+    WITH + """SELECT g.study, g.target, g.status, round(CASE WHEN r.tid IS NULL THEN 0 WHEN conflict THEN greatest(0.4, top - 0.18) ELSE top END, 6) AS confidence,
+      CASE WHEN r.tid IS NULL THEN 'no reliable target-specific proposition' ELSE 'v3 ' || CASE WHEN whole THEN 'collective' ELSE 'target-specific' END || ' ' || g.status || ' proposition' || CASE WHEN conflict THEN ' retained with conflicting proposition' ELSE '' END END AS rationale,
+      coalesce((SELECT string_agg(evidence, '|' ORDER BY place) FROM chosen c WHERE c.tid = g.tid AND c.target = g.target), '') AS evidence
+    FROM gold g LEFT JOIN resolved r ON r.tid = g.tid AND r.target = g.target""",
+)
+def det_13(spark, d):
+    return _v3(spark, d).select("study", "target", "status", "confidence", "rationale", F.array_join("evidence", "|").alias("evidence"))
+
+
+@register("det_14_provenance", WITH + f"SELECT study, target, place, status, phenotype, evidence, confidence, collective, {', '.join(_JOINED.format(c) for c in _LISTS)} FROM inventory")
+def det_14(spark, d):
+    rows = _v3(spark, d).select("study", "target", F.posexplode("evidence_provenance").alias("place", "p"))
+    return rows.select("study", "target", "place", "p.status", "p.phenotype", "p.evidence", F.round("p.confidence", 6).alias("confidence"), "p.collective", *[_joined(f"p.{c}") for c in _LISTS])
+
+
+@register(
+    "det_16_units",
+    WITH + """SELECT study, (SELECT count(*) FROM clause c WHERE c.tid = d.tid) AS clauses, (SELECT count(*) FROM view v WHERE v.tid = d.tid) AS views,
+      (SELECT count(*) FROM mention m WHERE m.tid = d.tid) AS mentions, (SELECT count(*) FROM prop p WHERE p.tid = d.tid) AS propositions FROM docs_t d""",
+)
+def det_16(spark, d):
+    r = reports(ship(spark), d)
+    found = L.mentions(r)
+    out = r.select("study")
+    for name, units in {"clauses": L.clauses(r), "views": L.text_views(r), "mentions": found, "propositions": L.propositions(found)}.items():
+        out = out.join(units.groupBy("study").agg(F.count(F.lit(1)).alias(name)), "study", "left")
+    return out.na.fill(0)
 
 
-@register("agg_06_detector_counts", None)
+@register("agg_06_detector_counts", WITH + "SELECT target, status, detector, count(*) AS n FROM (SELECT target, final_status AS status, unnest(detectors) AS detector FROM inventory) GROUP BY ALL")
 def agg_06(spark, d):
     nested = _v3(spark, d).select("target", "status", F.explode("evidence_provenance").alias("p")).select("target", "status", F.explode("p.detectors").alias("detector"))
     return nested.groupBy("target", "status", "detector").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("agg_34_evidence_inventory", None)
+@register("agg_34_evidence_inventory", WITH + "SELECT study, target, place, status, phenotype, evidence, confidence, collective, winning, view_support, detector_combination, CAST(len(source_indices) AS INT) AS source_clause_count, language_group FROM inventory")
 def agg_34(spark, d):
-    return _v3(spark, d).select("study", "target", F.posexplode("evidence_provenance").alias("place", "p")).select("study", "target", "place", "p.status", "p.phenotype", "p.evidence", "p.confidence", "p.collective")
+    from reportmill.operators import inspection as I
+
+    kept = ("study", "target", "place", "status", "phenotype", "evidence", "collective", "winning", "view_support", "detector_combination", "source_clause_count", "language_group")
+    return I.evidence(_v3(spark, d)).select(*kept, F.round("confidence", 6).alias("confidence"))
 
 
 _RATES = "count(*) FILTER (status = '{0}') AS {0}"
@@ -138,7 +237,7 @@ def agg_09(spark, d):
     return R.grouping_sets(rows, ["target", "lang"], [["target"], ["lang"], ["target", "lang"]], F.count(F.lit(1)).alias("n"), resolved)
 
 
-@register("agg_10_transitions", WITH + f"SELECT target, CASE WHEN target = 'Baker''s' AND status = 'positive' THEN 'unknown' ELSE status END AS status_old, status AS status_new, count(*) AS n FROM final GROUP BY target, status")
+@register("agg_10_transitions", WITH + "SELECT target, coalesce(b.status, 'unknown') AS status_old, f.status AS status_new, count(*) AS n FROM final f LEFT JOIN base_resolved b USING (tid, target) GROUP BY ALL")
 def agg_10(spark, d):
     return R.transitions(_v2(spark, d), _v3(spark, d), ["study", "target"], "status", ["target"])
 
@@ -246,7 +345,11 @@ def agg_38(spark, d):
     return M.aggregate_local(docs(spark, d).withColumn("label", label), ["source", "lang"], "label")
 
 
-@register("prj_05_trusted_filter", WITH + "SELECT study, target, status FROM final WHERE status <> 'unknown' AND official_label IS NULL")
+TRUSTED_SQL = """trusted AS (SELECT i.* FROM inventory i JOIN resolved r USING (tid, target) WHERE i.study % 20 <> 0 AND NOT i.collective AND NOT r.conflict AND list_contains(view_kinds, 'strict') AND len(source_indices) = 1
+    AND NOT list_contains(detectors, 'v2_collective'))"""
+
+
+@register("prj_05_trusted_filter", WITH + f", {TRUSTED_SQL} SELECT DISTINCT study, target, status FROM trusted")
 def prj_05(spark, d):
     from reportmill.operators.training import trusted
 

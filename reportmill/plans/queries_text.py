@@ -105,10 +105,9 @@ def txt_10(spark, d):
     return docs(spark, d).select("study", F.size(words()).alias("n_tokens"), X.sha256(F.array_join(words(), " ")).alias("tokens_sha256"))
 
 
-@register("txt_11_number_mask", r"SELECT doc_id AS study, sha256(regexp_replace(text, '\b[0-9]+([.,][0-9]+)*\b', '<num>', 'g')) AS masked_sha256 FROM documents WHERE NOT regexp_matches(text, '[0-9][\p{L}_]|[\p{L}_][0-9]')")
+@register("txt_11_number_mask", None)
 def txt_11(spark, d):
-    plain = docs(spark, d).where(~F.col("report").rlike(r"[0-9][\p{L}_]|[\p{L}_][0-9]"))
-    return plain.select("study", X.sha256(X.mask_numbers(F.col("report"))).alias("masked_sha256"))
+    return docs(spark, d).select("study", X.sha256(X.mask_numbers(F.col("report"))).alias("masked_sha256"))
 
 
 @register("txt_12_single_spaced", r"SELECT doc_id AS study, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS spaced_sha256 FROM documents")
@@ -225,8 +224,8 @@ def srt_04(spark, d):
 
 @register("win_03_group_size", "SELECT doc_id AS study, count(*) OVER (PARTITION BY text) AS copies FROM documents")
 def win_03(spark, d):
-    sizes = docs(spark, d).groupBy("report").agg(F.count(F.lit(1)).alias("copies"))
-    return docs(spark, d).join(sizes, "report").select("study", "copies")
+    rows = docs(spark, d).select("study", F.coalesce(X.sha256(F.col("report")), F.lit("")).alias("copy"))  # null texts are one group, and no text is dealt
+    return rows.join(rows.groupBy("copy").agg(F.count(F.lit(1)).alias("copies")), "copy").select("study", "copies")
 
 
 @register("win_06_first_per_group", "SELECT source, lang, min(doc_id) AS study FROM documents GROUP BY source, lang")

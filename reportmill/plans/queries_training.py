@@ -11,7 +11,9 @@ from reportmill.operators import labelling as L
 from reportmill.operators import profile as P
 from reportmill.operators import relational as R
 from reportmill.operators import training as T
-from reportmill.plans.corpora import TARGETS_SQL, docs, reports
+from reportmill.plans.corpora import docs, reports
+from reportmill.plans.gold import TARGETS_SQL
+from reportmill.plans.queries_labels import TRUSTED_SQL, WITH
 from reportmill.plans.registry import register
 from reportmill.plans.shipping import ship
 from reportmill.sources.tables import table
@@ -310,23 +312,39 @@ def dst_06(spark, d):
     return clean.select("doc_id", "source", "n_rows")
 
 
-@register("dst_01_template_families", r"SELECT doc_id AS study, sha256('exact:' || trim(lower(t))) AS exact_family FROM (SELECT doc_id, 'findings: acl tear.' AS t FROM documents WHERE doc_id % 13 = 0)")
+@register("dst_01_template_families", WITH + r", n AS (SELECT study, trim(regexp_replace(regexp_replace(strip_accents(lower(translate(report, 'ı', 'i'))), '[ \t]+', ' ', 'g'), '-', ' ', 'g')) AS t FROM docs_t) SELECT study, sha256('exact:' || t) AS exact_family, sha256('numeric:' || regexp_replace(t, '\b[0-9]+([.,][0-9]+)*\b', '<num>', 'g')) AS numeric_family FROM n")
 def dst_01(spark, d):
-    return P.families(reports(spark, d).where(F.col("study") % 13 == 0), "report").select("study", "exact_family")
+    return P.families(reports(spark, d), "report").select("study", "exact_family", "numeric_family")
+
+
+def _usable(spark, d):
+    rows = reports(ship(spark), d)
+    made = L.supervision(rows).select("study", "target", "rationale", "official_label", F.explode("evidence_provenance").alias("p")).select("study", "target", "rationale", "official_label", "p.*")
+    return T.candidates(made, T.surface_clauses(rows)).where("failure IS NULL")
 
 
 @register("dst_05_contrastive_negatives", None)
 def dst_05(spark, d):
-    safe = F.filter(F.array(*[F.lit(t) for t in V.TARGETS]), lambda t: F.pmod(F.xxhash64(t, F.col("study")), F.lit(3)) > 0)
-    return T.contrastive(docs(ship(spark), d).select(F.col("study").alias("clause_key"), safe.alias("safe_targets")), 17)
+    safe = T.safe_targets(_usable(spark, d), T.guard_keys(L.mentions(reports(spark, d))))
+    return T.contrastive(safe, 17)
+
+
+@register("prj_14_model_input", WITH + f", {TRUSTED_SQL} SELECT target, raw FROM trusted t JOIN clause c ON c.tid = t.tid AND c.idx = t.source_indices[1] WHERE diagnostic AND raw IS NOT NULL")
+def prj_14(spark, d):
+    return _usable(spark, d).select("target", "raw")
+
+
+@register("jon_04_one_to_one", "SELECT d.doc_id, lang, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def jon_04(spark, d):
+    return documents(spark, d).select("doc_id", "lang").join(labels(spark, d).select("doc_id", "quality"), "doc_id", "left")
 
 
-@register("txt_14_alignment", None)
+@register("txt_14_alignment", WITH + "SELECT study, idx, raw, c.text AS expected, diagnostic, CASE WHEN raw IS NULL THEN 'no_exact_span' END AS reason FROM docs_t JOIN clause c USING (tid)")
 def txt_14(spark, d):
     return T.surface_clauses(reports(ship(spark), d)).select("study", "idx", "raw", "expected", "diagnostic", "reason")
 
 
-@register("dst_02_trusted_candidates", None)
+@register("dst_02_trusted_candidates", WITH + f", {TRUSTED_SQL} SELECT study, target, status, idx, raw, CASE WHEN NOT diagnostic THEN 'non_diagnostic_clause' WHEN raw IS NULL THEN 'no_exact_span' END AS failure FROM trusted t JOIN clause c ON c.tid = t.tid AND c.idx = t.source_indices[1]")
 def dst_02(spark, d):
     rows = reports(ship(spark), d)
     made = L.supervision(rows).select("study", "target", "rationale", "official_label", F.explode("evidence_provenance").alias("p")).select("study", "target", "rationale", "official_label", "p.*")

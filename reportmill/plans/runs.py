@@ -58,7 +58,12 @@ def label(spark: SparkSession, reports: DataFrame, out: str, policy: str = "v3",
 def inspect(spark: SparkSession, reports: DataFrame, out: str, p: Parameters = Parameters()) -> list[str]:
     """Writes all inspection frames, a stratified audit sample and a similarity sample; gives their names."""
     ship(spark)
-    frames = I.frames(reports)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{out}/_tables/{name}")
+        return spark.read.parquet(f"{out}/_tables/{name}")
+
+    frames = I.frames(reports, keep=keep)
     inventory = frames["evidence_inventory"]
     keyed = inventory.withColumn("key", F.concat_ws(":", "study", "target", "place"))
     frames["audit_sample"] = R.stratified_sample(keyed, ["target", "status", "language_group"], "key", p.seed, 1, p.audit_rows)
@@ -74,11 +79,18 @@ def prepare(spark: SparkSession, reports: DataFrame, out: str, p: Parameters = P
     ship(spark)
     unlabelled = L.official_labels(reports).groupBy("study").agg(F.count("official_label").alias("k")).where("k = 0").select("study")
     open_reports = reports.join(unlabelled, "study", "left_semi")
-    inventory = I.evidence(L.supervision(open_reports))
+    write_table(L.mentions(open_reports), f"{out}/mentions")
+    found = spark.read.parquet(f"{out}/mentions")
+    inventory = I.evidence(L.supervision(open_reports, found=found))
     usable = T.candidates(inventory, T.surface_clauses(open_reports))
     write_table(usable, f"{out}/candidates")
     usable = spark.read.parquet(f"{out}/candidates").where("failure IS NULL")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_table(T.contrastive(T.safe_targets(usable, T.guard_keys(found)), p.seed, parts), f"{out}/contrastive")
+    negatives = spark.read.parquet(f"{out}/contrastive").where("target IS NOT NULL")
     units = T.collapse(usable.withColumnRenamed("raw", "clause"), ["study", "target", "idx", "clause", "status"])
+    constructed = negatives.select("study", "target", "idx", "clause", F.lit("no_evidence").alias("status"), F.array(F.lit("contrastive_other_target")).alias("detectors"), F.lit(None).cast("double").alias("confidence"), F.lit(1).cast("long").alias("n_merged"))
+    units = units.unionByName(constructed)
     families = P.families(open_reports.select("study", "report"), "report").withColumn("language_group", X.language_group(X.normalize(F.col("report"))))
     write_table(T.assign_splits(families.select("study", "numeric_family", "language_group"), "study", "numeric_family", ["language_group"], p.split_seed), f"{out}/splits")
     splits = spark.read.parquet(f"{out}/splits")

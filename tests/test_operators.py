@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from reportmill.functions import vocabulary as V
+from reportmill.operators import inspection as I
 from reportmill.operators import metrics as M
 from reportmill.operators import relational as R
 from reportmill.operators import training as T
@@ -43,9 +45,27 @@ def test_weights_are_capped(spark):
 
 
 def test_contrastive_uses_least_used(spark):
-    rows = spark.createDataFrame([(i, ["a", "b", "c"]) for i in range(30)] + [(99, [])], "clause_key int, safe_targets array<string>")
+    rows = spark.createDataFrame([(i, 0, f"t{i}", "T", ["a", "b", "c"]) for i in range(30)] + [(99, 0, "none", "N", [])], "study int, idx int, normalized_clause string, clause string, safe_targets array<string>")
     got = T.contrastive(rows, 1).groupBy("target").count().collect()
     assert {r["target"]: r["count"] for r in got} == {"a": 10, "b": 10, "c": 10, None: 1}
+    dealt = {r["target"]: r["count"] for r in T.contrastive(rows, 1, 3).groupBy("target").count().collect()}
+    assert sum(dealt.values()) == 31 and max(dealt[t] for t in "abc") - min(dealt[t] for t in "abc") <= 3
+
+
+def test_guards_leave_one_target(spark):
+    usable = spark.createDataFrame([(1, 0, "the acl is torn.", "The ACL is torn.", "ACL")], "study int, idx int, normalized_clause string, raw string, target string")
+    found = spark.createDataFrame([(1, [0], t) for t in V.TARGETS if t not in ("ACL", "MCL")], "study int, source_indices array<int>, target string")
+    safe = T.safe_targets(usable, T.guard_keys(found))
+    assert [r["safe_targets"] for r in safe.collect()] == [["MCL"]]
+    assert [(r["target"], r["label"]) for r in T.contrastive(safe, 5).collect()] == [("MCL", "no_evidence")]
+    alone = T.safe_targets(usable, T.guard_keys(found.limit(0))).first()["safe_targets"]
+    assert alone == [t for t in V.TARGETS if t != "ACL"]
+
+
+def test_explicit_cues(spark):
+    cases = [("ACL", "the acl is not visualized.", True), ("Effusion", "small joint effusion.", True), ("Fracture", "moderate joint effusion.", False), ("Synovitis", "minimal sinovyal kalinlasma.", True)]
+    one = spark.range(1).select(*[I.explicit_cue(t, F.lit(c)).alias(str(i)) for i, (t, c, _) in enumerate(cases)]).first()
+    assert list(one) == [want for *_, want in cases]
 
 
 def test_alignment(spark):
@@ -59,12 +79,14 @@ def test_alignment(spark):
 def test_splits_keep_families(spark):
     rows = [(i, f"f{i if i > 60 else i % 7}", ["x", "y"][i % 2]) for i in range(400)]
     df = spark.createDataFrame(rows, "study int, family string, kind string")
-    for exact in (1000, 20):
-        got = T.assign_splits(df, "study", "family", ["kind"], exact=exact)
-        assert got.count() == 400
-        assert {r["violations"] for r in T.leaks(got, ["split_group", "family"]).collect()} == {0}
-        n = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
-        assert 0.55 < n["train"] / 400 < 0.85 and min(n.values()) > 20
+    got = T.assign_splits(df, "study", "family", ["kind"])
+    assert got.count() == 400
+    assert {r["violations"] for r in T.leaks(got, ["split_group", "family"]).collect()} == {0}
+    n = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
+    assert 0.6 < n["train"] / 400 < 0.8 and min(n.values()) > 40
+    kinds = {(r["kind"], r["split"]): r["count"] for r in got.groupBy("kind", "split").count().collect()}
+    assert all(abs(kinds[k, s] - 200 * ratio) < 20 for k in "xy" for s, ratio in T.SPLITS.items())
+    assert T.assign_splits(df.limit(0), "study", "family", ["kind"]).count() == 0
     assert T.assign_splits(df, "study", "family", ["kind"]).exceptAll(T.assign_splits(df, "study", "family", ["kind"])).count() == 0
     with pytest.raises(ValueError, match="ratios"):
         T.check_ratios({"train": 0.7, "test": 0.2})

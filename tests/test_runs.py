@@ -1,6 +1,6 @@
 from reportmill.functions import vocabulary as V
 from reportmill.plans import runs
-from reportmill.plans.corpora import TEMPLATES
+from reportmill.plans.gold import TEMPLATES
 
 
 def test_all_runs(spark, tmp_path):
