@@ -14,7 +14,7 @@ links, not the links themselves; components follow from the forests.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components, and one
 whose label is null, has no links and is its own component; vectors of different lengths do not link;
-repeated rows link with each other; a null id is never a component's id unless all its members' are.
+repeated rows link with each other; an empty table gives an empty table; a null id is never a component's id unless all its members' are.
 """
 
 from __future__ import annotations

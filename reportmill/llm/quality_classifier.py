@@ -8,7 +8,8 @@ inverted Cholesky factors that are computed once.
 
 Defined results: a null text is like an empty one; a null label is no label, and of several labels of
 an id the smallest counts; without labels of one class all scores are 0.5; repeated rows get equal
-scores.
+scores, and a labelled id counts once for each of its rows; an empty table gives an empty table; texts are read whole
+however long; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Matches are leftmost and do not overlap within a kind and a layer.
 
 Defined results: null and empty texts have no spans; texts are read whole; repeated rows get equal
 results; of a layer that is not text once decoded (bytes that are not UTF-8 or mostly unprintable) the
-stretches of 12 printable characters and more are read. A compressed stream is unpacked up to ``MAX_LAYER`` bytes, which guards a worker's memory
+stretches of 12 printable characters and more are read; an empty table gives an empty table; other columns pass
+through, whatever their names. A compressed stream is unpacked up to ``MAX_LAYER`` bytes, which guards a worker's memory
 against streams made to explode; a document in which that happened is marked ``over_limit``.
 """
 
@@ -254,9 +255,10 @@ def redact(docs: DataFrame, *, text: str = "text", mask: str = "[secret]") -> Da
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
-    found = scan_secrets(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "secrets.*")
+    found = scan_secrets(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "secrets.*")  # over_limit marks what was not unpacked whole
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select(
-        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans")
+        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+        "layers", "over_limit",
     )

@@ -18,7 +18,8 @@ are therefore texts that agree in one of ``BANDS`` bands of ``BAND_ROWS`` least
 left out with a probability of 3e-6, closer ones with less. Every candidate is compared on its whole sets.
 
 Defined results: texts without words have fingerprint zero and link like any other; a null id never
-is a component's id unless all its documents have none; repeated rows are documents of one component.
+is a component's id unless all its documents have none; repeated rows are documents of one component;
+an empty table gives an empty table; texts are read whole however long.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ come first by a hash of their id. Words that tell the classes apart by at least
 errors become features. The fitted model is a dictionary of a few words, sent to the executors.
 
 Defined results: null and empty texts get the score of a text without any known word; texts are read
-whole; repeated rows get equal scores; a label that is null is no label, and of several labels of an
-id the largest counts; without any label of one class all scores are 0.5.
+whole however long; repeated rows get equal scores; a label that is null is no label, and of several labels
+of an id the largest counts, of several texts of a labelled id the one whose hash is least; without any label
+of one class all scores are 0.5; an empty table gives an empty table; other columns pass through, whatever
+their names. A text that already names both groups has no such copy: swapping them gives the same words.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from reportmill.llm.common import col, documents, fresh
 
-#: Fixed lists of terms that name groups of people, by kind; terms of a kind are swapped for each other.
+#: Fixed lists of terms that name groups of people, by kind and language; terms of a kind are swapped for each other.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "nonbinary"),
     ("woman", "man", "girl", "boy"),
@@ -35,6 +37,18 @@ IDENTITY_TERMS = (
     ("gay", "lesbian", "straight", "bisexual", "transgender"),
     ("immigrants", "refugees", "foreigners", "natives"),
     ("disabled", "deaf", "blind", "elderly", "young"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes"),
+    ("inmigrantes", "refugiados", "extranjeros"),
 )
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each class that the model is fitted on, at most.
@@ -57,7 +71,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, text: str, key: str, la
     sample = chosen[0].unionByName(chosen[1])  # at most 2 * per_class rows
     words = F.pandas_udf(lambda s: s.map(lambda t: " ".join(sorted(tokens(t)))), "string")
     found = docs.select(col(key).alias("k2"), col(text).alias("t")).join(F.broadcast(sample), F.col("k2") == F.col("k"))
-    return found.dropDuplicates(["k"]).select("k", "y", words("t").alias("words"))
+    one = found.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t"))
+    return one.select("k", "y", words("t").alias("words"))
 
 
 def fit(rows: list[tuple[int, list[str]]], *, groups=IDENTITY_TERMS, z_min: float = 5.0, l2: float = 1e-3, fairness: float = 10.0, steps: int = 300) -> dict:
@@ -68,7 +83,10 @@ def fit(rows: list[tuple[int, list[str]]], *, groups=IDENTITY_TERMS, z_min: floa
     seen = (Counter(), Counter())
     for y, words in rows:
         seen[y].update(words)
-    terms = {t: g for g in groups for t in g}
+    terms: dict[str, tuple[str, ...]] = {}
+    for g in groups:  # a term of two languages is swapped within both
+        for t in g:
+            terms[t] = tuple(dict.fromkeys(terms.get(t, ()) + g))
 
     def z(w: str) -> float:
         p0, p1 = (seen[0][w] + 0.5) / (n[0] + 1), (seen[1][w] + 0.5) / (n[1] + 1)
@@ -84,13 +102,14 @@ def fit(rows: list[tuple[int, list[str]]], *, groups=IDENTITY_TERMS, z_min: floa
         at.setdefault(t, len(at))
     docs, cols, y = [], [], np.array([a for a, _ in rows], float)
     gone, come = [], []
-    for i, (_, words) in enumerate(rows):
+    for i, (_, found) in enumerate(rows):
+        words = dict.fromkeys(found)
         for w in words:
             if w in at:
                 docs.append(i)
                 cols.append(at[w])
                 if w in terms:  # a counterfactual copy for each other term of its kind
-                    others = [o for o in terms[w] if o != w]
+                    others = [o for o in terms[w] if o not in words]
                     gone += [at[w]] * len(others)
                     come += [at[o] for o in others]
     docs, cols, gone, come = (np.array(a, int) for a in (docs, cols, gone, come))

@@ -451,6 +451,35 @@ def test_counterfactuals_move_no_score():
     assert toxicity.fit([]) == {"bias": 0.0, "weights": {}}
 
 
+def test_texts_that_name_both_groups_have_no_copy():
+    rows = [(i % 2, ["muslim", "christian", f"w{i % 7}", "vile" if i % 2 else "fine"]) for i in range(60)]
+    model = toxicity.fit(rows, groups=(("muslim", "christian"),))
+    assert toxicity.score_text(model, "muslim christian vile") > 0.5 > toxicity.score_text(model, "muslim christian fine")
+    assert toxicity.score_text(model, "une mosquée vile") > 0.5
+
+
+CLASH = "doc_id long, text string, score string, statistics string, ids string, n_tokens string, decoded string, secrets string, shard string, slot string, fingerprint string, n_dropped int"
+
+
+def test_clashing_names_empty_tables_and_long_texts(spark):
+    mixed = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    long = "\n".join(f"{mixed(i)[:12]} {mixed(i)[12:24]} {mixed(i)[24:36]}" for i in range(2000))
+    docs = spark.createDataFrame([(1, long, *["x"] * 9, 5), (None, None, *["y"] * 9, 6), (2, "", *["z"] * 9, 7), (1, long, *["x"] * 9, 5)], CLASH)
+    none, labels = docs.limit(0), spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    made = {
+        "toxicity": lambda d: toxicity.score(d, model), "secrets": secrets.scan_secrets, "fingerprint": simhash.with_fingerprint, "line_dedup": lambda d: line_dedup.dedup(d, dropped="n_gone"),
+        "encode": lambda d: bpe.encode(d, bpe.default_tokenizer()), "statistics": quality_classifier.with_statistics,
+    }
+    for name, f in made.items():
+        got = f(docs)
+        assert got.columns[: len(docs.columns)] == docs.columns, name
+        rows = got.collect()
+        assert len(rows) == 4 and sorted(r["score"] for r in rows) == ["x", "x", "y", "z"], name
+        assert f(none).count() == 0, name
+    assert bpe.digests(none).count() == 0 and simhash.near_duplicates(docs).count() == 4
+
+
 def labelled(spark):
     r = random.Random(2)
     texts, rows = [], []
@@ -510,3 +539,10 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(ids("mixing")) <= set(range(60)) and len(ids("mixing")) > 30
     assert ids("bpe") == ids("mixing")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["bpe"].count()
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, lines_taken int, rank string"
+    for name, rows in {"empty": [], "rejected": [(1, None, "en", "a", 0, 1, "x"), (1, "short", "en", "a", 5, 1, "x"), (1, "short", "en", None, 5, 1, "x")]}.items():
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / name / "documents.parquet"))
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() == 0
