@@ -11,8 +11,10 @@ Texts become words as in the tokenizer file: special tokens first, then canonica
 lower case letter by letter, the file's split pattern, and bytes as printable characters, with an
 end-of-word mark on the last. The file is read once by the driver and sent to the executors (a fixed
 size). Texts stream through the workers in Arrow batches; a worker remembers the ids of chunks between
-white space and the outcome of pair tests up to a bounded number of bytes and starts anew beyond that,
-which costs time only. :func:`digests` encodes, decodes and hashes in one pass through one worker.
+white space and the outcome of pair tests up to a bounded number of bytes. Both are held in two generations:
+when the young one is full it becomes the old one, whose entries come back when they are used, so what is
+common is never worked out twice and forgetting costs time only. :func:`digests` encodes, decodes and hashes
+in one pass through one worker.
 
 Defined results: null and empty texts have no ids and decode to the empty text; the text is used
 whole however long; repeated rows get equal results; other columns pass through, whatever their names; an
@@ -38,9 +40,11 @@ from reportmill.llm.common import col, documents, fresh
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 END = "</w>"
 #: Bytes (about) of chunks that a worker remembers, and what an entry takes besides its text and ids.
-REMEMBERED, ENTRY = 40 << 20, 220
+REMEMBERED, ENTRY = 64 << 20, 220
 #: Pair tests that a worker remembers: about 170 bytes each.
-TESTS = 200_000
+TESTS = 400_000
+#: Sizes of tokens that may end any prefix.
+SHORT = (2, 1)
 #: Bytes of text that are cut into chunks at a time, but for a single longer text.
 BATCH_BYTES = 2 << 20
 
@@ -69,15 +73,17 @@ class TrieBpe:
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.endings = self.sizes_by_ending()
+        self.inner, self.final = self.sizes_by_ending("", END), self.sizes_by_ending(END, None)
         self.bytes = byte_characters()
         self.table = {b: c for b, c in self.bytes.items()}
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
         self.gaps = regex.compile(f"[{SPACES}]+")
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.fits: dict[tuple[str, str], bool] = {}
+        self.old_fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
         self.held = 0
 
     # --- pair test
@@ -111,9 +117,11 @@ class TrieBpe:
     def goes(self, a: str, b: str) -> bool:
         known = self.fits.get((a, b))
         if known is None:
-            known = (a, b) not in self.rank and self.merged([*self.symbols(a), *self.symbols(b)]) == [a, b]
-            if len(self.fits) >= TESTS:
-                self.fits.clear()
+            known = self.old_fits.get((a, b))
+            if known is None:
+                known = (a, b) not in self.rank and self.merged([*self.symbols(a), *self.symbols(b)]) == [a, b]
+            if len(self.fits) >= TESTS // 2:
+                self.old_fits, self.fits = self.fits, {}
             self.fits[a, b] = known
         return known
 
@@ -125,24 +133,30 @@ class TrieBpe:
 
     # --- trie traversal
 
-    def sizes_by_ending(self) -> dict[str, tuple[int, ...]]:
-        """The sizes of tokens of three symbols and more, largest first, by their last three symbols and end mark."""
+    def sizes_by_ending(self, end: str, other: str | None) -> dict[str, tuple[int, ...]]:
+        """The sizes of tokens with one end mark and not the other, largest first, by the last three of their symbols."""
         found: dict[str, set[int]] = {}
         for t in self.vocab:
-            body, end = (t[: -len(END)], END) if t.endswith(END) and t != END else (t, "")
-            if len(body) > 2:
-                found.setdefault(body[-3:] + end, set()).add(len(body))
-        return {e: tuple(sorted(sizes, reverse=True)) for e, sizes in found.items()}
-
-    def last(self, prefix: str, lasts: list[str], end: str) -> str:
-        """The last token of the prefix; lasts[i] is that of its first i symbols."""
-        vocab, n = self.vocab, len(prefix)
-        for size in (*self.endings.get(prefix[-3:] + end, ()), 2, 1) if n > 2 else range(n, 0, -1):
-            if size <= n:
-                t = prefix[n - size :] + end
-                if t in vocab and (self.alone(t) if size == n else self.goes(lasts[n - size], t)):
-                    return t
-        raise ValueError(f"no token ends {prefix!r}")
+            if t.endswith(end) and not (other and t != other and t.endswith(other)):
+                body = t[: len(t) - len(end)]
+                if len(body) > 2:
+                    found.setdefault(body[-3:], set()).add(len(body))
+        return {e: (*sorted(sizes, reverse=True), *SHORT) for e, sizes in found.items()}
+
+    def last(self, word: str, n: int, lasts: list[str], end: str) -> str:
+        """The last token of the word's first n symbols; lasts[i] is that of its first i."""
+        vocab, fits = self.vocab, self.fits
+        for size in (self.final if end else self.inner).get(word[n - 3 : n], SHORT) if n > 2 else SHORT[-n:]:
+            t = word[n - size : n] + end if size <= n else ""
+            if t in vocab:
+                if size == n:
+                    if self.alone(t):
+                        return t
+                else:
+                    known = fits.get((lasts[n - size], t))
+                    if self.goes(lasts[n - size], t) if known is None else known:
+                        return t
+        raise ValueError(f"no token ends {word[:n]!r}")
 
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """Ids of distinct words (as byte characters), depth first over their trie."""
@@ -155,8 +169,8 @@ class TrieBpe:
                 shared += 1
             del lasts[shared + 1 :]
             for depth in range(shared + 1, inner + 1):
-                lasts.append(self.last(word[:depth], lasts, ""))
-            t = self.last(word, lasts, END)
+                lasts.append(self.last(word, depth, lasts, ""))
+            t = self.last(word, inner + 1, lasts, END)
             ids, at = [vocab[t]], inner + 1 - (len(t) - len(END))
             while at:
                 t = lasts[at]
@@ -190,13 +204,21 @@ class TrieBpe:
         return text.split()
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.chunks]
-        if not new:
+        size = lambda c: 3 * len(c) + ENTRY
+        missing = [c for c in chunks if c not in self.chunks]
+        if not missing:
             return
-        self.held += sum(3 * len(c) + ENTRY for c in new)
-        if self.held > REMEMBERED:
-            self.chunks.clear()
-            new, self.held = list(chunks), sum(3 * len(c) + ENTRY for c in chunks)
+        self.held += sum(map(size, missing))
+        if self.held > REMEMBERED // 2:
+            self.old_chunks, self.chunks = self.chunks, {}
+            missing, self.held = list(chunks), sum(map(size, chunks))
+        new = []
+        for c in missing:
+            ids = self.old_chunks.pop(c, None)
+            if ids is None:
+                new.append(c)
+            else:
+                self.chunks[c] = ids
         plain = lambda w: w.isascii() and w.isprintable()  # these bytes are their own characters
         as_bytes = lambda w: w if plain(w) else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
         parts = {c: [c] if c.isascii() and c.isalpha() else [as_bytes(w) for w in self.words.findall(c)] for c in new}

@@ -165,6 +165,17 @@ def test_special_text(tokenizer, own, text):
     same(tokenizer, own, text)
 
 
+def test_small_memory_changes_no_ids(tokenizer, own, monkeypatch):
+    """With generations of a few entries, words come back from the old one or are worked out again."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 8_000)
+    monkeypatch.setattr(bpe, "TESTS", 20)
+    r = random.Random(9)
+    words = ["".join(r.choice("abehlnorst") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    for _ in range(40):
+        same(tokenizer, own, " ".join(r.choice(words) for _ in range(30)))
+    assert own.old_chunks and own.old_fits and own.held <= 8_000
+
+
 def test_bpe_query(spark, tokenizer):
     texts = ["Hello world, it's 2024!", None, "", "long " * 50_000]
     got = {r["doc_id"]: r for r in bpe.digests(docs_of(spark, texts)).collect()}
