@@ -23,6 +23,7 @@ empty table gives an empty table. Text of a special token counts as that token,
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -227,7 +228,19 @@ class TrieBpe:
             self.chunks[c] = array("I", [i for w in ws for i in ids[w]]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text: four little-endian bytes an id."""
+        """Packed ids of each text: four little-endian bytes an id.
+
+        The collector rests meanwhile: a batch makes very many tuples and lists and no cycles.
+        """
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self.packed(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def packed(self, texts: list[str]) -> list[bytes]:
         cut = [[(special, x if special else self.split(x)) for special, x in self.pieces(t)] for t in texts]
         self.learn({c for parts in cut for special, x in parts if not special for c in x})
         known = self.chunks
