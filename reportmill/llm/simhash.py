@@ -13,9 +13,13 @@ all of them; so nothing is capped, and no task gets a whole key.
 
 :func:`keep_one` can also go by exact similarity: the Jaccard coefficient of the sets of word shingles of
 two whole texts (:func:`similar_links`). At a coefficient of 0.8 about 10 of 64 bits differ, with a
-spread that reaches 18, and no segment of such fingerprints is a key that tells texts apart. Candidates
-are therefore texts that agree in one of ``BANDS`` bands of ``BAND_ROWS`` least hashes: a pair at 0.8 is
-left out with a probability of 3e-6, closer ones with less. Every candidate is compared on its whole sets.
+spread that reaches 18: too many for equal segments. The SimHash is therefore wider there, ``2 * TABLES``
+segments of 24 bits, and each segment's index is a codeword of the extended Golay code found by soft
+decision: the sums behind the bits are correlated with the 4,096 codewords, so bits that nearly came out
+the other way weigh little. A key is a pair of indices of two segments, the ``PROBES`` likeliest of each
+pair: 112 keys a text. Texts that share a key are compared on the first 128 bits (``WIDE_BITS`` may
+differ), then on their whole sets. A pair at 0.8 shares a key of one pair of segments with a probability
+of 0.58 and of none of the 14 with one of 5e-6 (both for normal sums), closer ones with less.
 
 Defined results: texts without words have fingerprint zero and link like any other; a null id never
 is a component's id unless all its documents have none; repeated rows are documents of one component;
@@ -40,8 +44,10 @@ MAX_BITS = 2
 BLOCK = 1024
 #: Shingles in a block of sets, and columns of an incidence matrix.
 ELEMENTS, COLUMNS = 1 << 19, 2048
-#: Bands of least hashes and hashes in a band, for exact similarity.
-BANDS, BAND_ROWS = 24, 4
+#: Pairs of segments of a wide fingerprint, codewords tried of a segment, keys taken of a pair, for exact similarity.
+TABLES, CODEWORDS, PROBES = 14, 4, 8
+#: Bits of the first 128 in which similar texts may differ (19 in the mean at 0.8, 24 for sets of five shingles).
+WIDE_BITS = 44
 
 # --- fingerprints
 
@@ -198,30 +204,145 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i : i + width]), SEED) for i in range(last + 1)], np.uint64))
 
 
-_MULTIPLY = np.array([xxhash.xxh64_intdigest(b"", i) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
-_ADD = np.array([xxhash.xxh64_intdigest(b"add", i) for i in range(BANDS * BAND_ROWS)], np.uint64)
+_WORDS = -(-2 * TABLES * 24 // 64)
+_ADD = np.array([0] + [xxhash.xxh64_intdigest(b"add", i) for i in range(1, _WORDS)], np.uint64)
 
 
-def band_keys(found: np.ndarray) -> list[int]:
-    """One signed key a band of the least hashes of a set; none of an empty one."""
-    if not len(found):
-        return []
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(found), 8192):
-        np.minimum(least, (found[i : i + 8192, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
-    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+def _codebook() -> np.ndarray:
+    """The 4,096 codewords of the extended Golay code as columns of +1 and -1, by their 12 message bits."""
+    message = np.arange(4096, dtype=np.int64) << 11
+    bits = ((message ^ _syndrome(message))[:, None] >> np.arange(23)) & 1
+    return (2 * np.c_[bits, bits.sum(axis=1) & 1] - 1).T.astype(np.float32)
+
+
+_CODE = _codebook()
 
 
-def with_bands(docs: DataFrame, text: str, width: int, name: str) -> DataFrame:
-    """Adds a struct: fp (hash of the set of shingles) and its band keys."""
+def wide_sums(found: np.ndarray) -> np.ndarray:
+    """Per bit of the wide SimHash of a set: hashes with a one less hashes with a zero. The first 64 bits are of the hashes themselves."""
+    ones = np.zeros(64 * _WORDS, np.int64)
+    for i in range(0, len(found), 8192):
+        h = found[i : i + 8192, None] + _ADD
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h ^= h >> np.uint64(33)
+        h[:, 0] = found[i : i + 8192]
+        ones += np.unpackbits(h.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return 2 * ones - len(found)
+
+
+def soft_keys(sums: np.ndarray) -> np.ndarray:
+    """Keys of wide fingerprints (a row of sums each): for each pair of segments the likeliest pairs of codewords."""
+    scores = sums[:, : 2 * TABLES * 24].astype(np.float32).reshape(-1, 24) @ _CODE
+    row = np.arange(len(scores))
+    index, value = np.empty((len(row), CODEWORDS), np.int32), np.empty((len(row), CODEWORDS), np.float32)
+    for i in range(CODEWORDS):
+        best = scores.argmax(axis=1)
+        index[:, i], value[:, i] = best, scores[row, best]
+        scores[row, best] = -np.inf
+    index, value = index.reshape(-1, TABLES, 2, CODEWORDS), value.reshape(-1, TABLES, 2, CODEWORDS)
+    both = (value[:, :, 0, :, None] + value[:, :, 1, None, :]).reshape(-1, TABLES, CODEWORDS**2)
+    pair = ((index[:, :, 0, :, None] << 12) | index[:, :, 1, None, :]).reshape(both.shape)
+    likeliest = np.argsort(-both, axis=2, kind="stable")[:, :, :PROBES]
+    found = np.take_along_axis(pair, likeliest, axis=2) | (np.arange(TABLES, dtype=np.int32) << 24)[:, None]
+    return found.reshape(len(sums), TABLES * PROBES)
+
+
+def with_wide_fingerprint(docs: DataFrame, text: str, width: int, name: str) -> DataFrame:
+    """Adds a struct: fp (hash of the set of shingles), f0 and f1 (first 128 bits of the wide SimHash), its keys (none of an empty set)."""
 
     def work(s: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t, width) for t in s]
-        fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": fps, "bands": [band_keys(x) for x in sets]})
+        fps, bits, keys = [], [], []
+        for i in range(0, len(s), 16):
+            sets = [shingles(t, width) for t in s.iloc[i : i + 16]]
+            sums = np.stack([wide_sums(x) for x in sets])
+            fps += [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]
+            bits.append(np.packbits(sums[:, :128] > 0, axis=1, bitorder="little").view("<i8"))
+            keys += [k if len(x) else k[:0] for k, x in zip(soft_keys(sums), sets, strict=True)]
+        both = np.concatenate([np.empty((0, 2), np.int64), *bits])
+        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "f0": both[:, 0], "f1": both[:, 1], "keys": pd.Series(keys, dtype=object)})
+
+    return docs.withColumn(name, F.pandas_udf(work, "fp long, f0 long, f1 long, keys array<int>")(col(text)))
+
 
-    return docs.withColumn(name, F.pandas_udf(work, "fp long, bands array<long>")(col(text)))
+def _near(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int16)
+
+
+def _stars(fps: np.ndarray, bits: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Of a run: pairs of a central fingerprint with those within WIDE_BITS of it, and which ones have further pairs."""
+    n = len(fps)
+    spare = np.empty((n, n), np.int16)  # bits to spare, 0 where too far
+    for i in range(n):
+        spare[i] = np.maximum(WIDE_BITS + 1 - _near(bits, np.array([i]), np.arange(n)), 0)
+    spare[np.arange(n), np.arange(n)] = 0
+    weight, out = spare.sum(axis=1, dtype=np.int64), []
+    close, left, rest = spare > 0, weight > 0, spare > 0
+    while left.any():
+        head = int(np.argmax(np.where(left, weight, -1)))
+        found = np.flatnonzero(close[head])
+        out += [(int(fps[head]), int(fps[k])) for k in found]
+        left[head] = left[found] = False
+        rest[head] = rest[:, head] = False
+    return out, rest.any(axis=1)
+
+
+def _close_runs(it):
+    """Of runs of fingerprints that share a key, which may go on in the next batch: pairs to compare (a, b, -1) and, where
+    a run has more close pairs than those, its members (a, a, key)."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        run, fps, bits = pdf["run"].to_numpy(), pdf["fp"].to_numpy(), pdf[["f0", "f1"]].to_numpy("int64").view(np.uint64)
+        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        size = np.diff(np.r_[starts, len(run)])
+        length = np.repeat(size, size)
+        close = np.zeros(len(starts), bool)
+        of = np.repeat(np.arange(len(starts)), size)
+        at = np.flatnonzero((length > 1) & (length <= 64))
+        step = 1
+        while len(at):  # short runs, all at once: each row with the one so many steps on
+            at = at[at + step < len(run)]
+            at = at[of[at] == of[at + step]]
+            hit = at[_near(bits, at, at + step) <= WIDE_BITS]
+            close[of[hit]] = True
+            step += 1
+        pairs, members = [], []
+        for k in np.flatnonzero(close | (size > 64)):
+            part = slice(starts[k], starts[k] + size[k])
+            if size[k] == 2:
+                pairs.append((int(fps[starts[k]]), int(fps[starts[k] + 1])))
+                continue
+            found, rest = _stars(fps[part], bits[part])
+            pairs += found
+            members += [(int(f), int(run[starts[k]] >> 32)) for f in fps[part][rest]]
+        pairs = {(min(p), max(p)) for p in pairs}
+        return pd.DataFrame([(*p, -1) for p in sorted(pairs)] + [(f, f, key) for f, key in members], columns=["a", "b", "key"], dtype="int64")
+
+    rest = None
+    for pdf in it:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        run = pdf["run"].to_numpy()
+        last = int(np.searchsorted(run, run[-1]))
+        rest = pdf.iloc[last:]
+        if last:
+            yield work(pdf.iloc[:last])
+    if rest is not None:
+        yield work(rest)
+
+
+def close_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Rows (a, b, key) of :func:`_close_runs` for nodes (fp, f0, f1, keys). Keys of many fingerprints are cut into pairs of blocks."""
+    keyed = nodes.select("fp", "f0", "f1", F.explode("keys").alias("key"))
+    hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * BLOCK), "hot-keys")
+    hot = hot.select("key", F.least(F.ceil(F.col("n") / BLOCK), F.lit(65535)).cast("int").alias("blocks"))
+    cut = keyed.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = lambda c, n: F.shiftleft(c.cast("long"), n)
+    run = place(F.col("key"), 32).bitwiseOR(place(F.least("block", "other"), 16)).bitwiseOR(F.greatest("block", "other").cast("long"))
+    dealt = cut.select(run.alias("run"), "fp", "f0", "f1").repartition("run").sortWithinPartitions("run")
+    return dealt.mapInPandas(_close_runs, "a long, b long, key long")
 
 
 def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -282,24 +403,23 @@ def _similar_runs(it, similarity: float):
 
 
 def similar_links(rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect all sets of shingles at least so similar, of rows (fp, bands, text).
+    """Edges (a, b) that connect all sets of shingles at least so similar, of rows (fp, f0, f1, keys, text).
 
-    First each set is compared with the most popular one of its band (which shares bands with most others, as the
-    original of many copies does). Where a band then still holds sets of different components, all its sets
-    are compared in pairs of blocks of bounded size, which give a spanning forest each; no pairs are listed. A
-    large group of near copies of one text costs no square of its size unless many of them are farther from it.
+    Fingerprints that share a key and are close are candidates. First each is compared, on the whole sets, with the
+    one of its key that is closest to the others (as the original of many copies is). Where a key then still holds
+    close ones of different components, all its sets that are close to another are compared in pairs of blocks of
+    bounded size, which give a spanning forest each; no pairs are listed. A large group of near copies of one
+    text costs no square of its sets unless many of them are farther from it.
     """
-    keyed = rows.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.explode("bands").alias("key"))
-    keyed = materialize(keyed, "bands")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = materialize(_join(keyed, shared, "key"), "shared-bands")
-    texts = rows.join(keyed.select("fp").distinct(), "fp").groupBy("fp").agg(F.first("text").alias("text"))
+    nodes = rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("f0", "f1", "keys")])
+    close = materialize(close_fingerprints(materialize(nodes, "wide-fingerprints")), "close-fingerprints")
+    stars = close.where("key < 0").select("a", "b").distinct()
+    keyed = close.where("key >= 0").select("key", F.col("a").alias("fp")).distinct()
+    in_pairs = close.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    texts = rows.select("fp", "text").join(in_pairs, "fp").groupBy("fp").agg(F.first("text").alias("text"))
     whole = F.pandas_udf(lambda s: s.map(lambda t: shingles(t, width).view(np.int64)), "array<long>")
     sets = materialize(texts.select("fp", whole("text").alias("set")), "shingle-sets")
     sized = sets.select("fp", F.size("set").alias("m"))
-    popular = keyed.groupBy("fp").agg(F.sum("n").alias("popular"))
-    heads = _join(keyed, popular, "fp").groupBy("key").agg(F.max_by("fp", F.struct("popular", "fp")).alias("head"))
-    stars = _join(keyed, heads, "key").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
     fit = _join(_join(stars, sized.toDF("a", "na"), "a"), sized.toDF("b", "nb"), "b")
     fit = fit.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity)
     both = _join(_join(fit, sets.toDF("a", "sa"), "a"), sets.toDF("b", "sb"), "b").withColumn("same", F.size(F.array_intersect("sa", "sb")))
@@ -308,7 +428,7 @@ def similar_links(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     member = keyed.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     blocks = F.greatest(F.ceil(F.sum("m") / ELEMENTS), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks")
     mixed = _join(member, sized, "fp").groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), blocks).where("least <> most")
-    member = materialize(_join(member.select("key", "fp"), mixed.select("key", "blocks"), "key"), "mixed-bands")
+    member = materialize(_join(member.select("key", "fp"), mixed.select("key", "blocks"), "key"), "mixed-keys")
     cut = member.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp")
     dealt = _join(cut, sets, "fp").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
@@ -342,14 +462,14 @@ def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingl
     if similarity is None and shingle != SHINGLE:
         raise ValueError("fingerprints are of 3-word shingles; another width needs a similarity")
     fp, row, rank, out = fresh(docs, "fp_value", "row_no", "rank", "gone")
-    marked = with_fingerprint(docs, text=text, name=fp) if similarity is None else with_bands(docs, text, shingle, fp)
+    marked = with_fingerprint(docs, text=text, name=fp) if similarity is None else with_wide_fingerprint(docs, text, shingle, fp)
     rows = materialize(marked.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
     order = F.struct(col(key).isNull().alias("n"), col(key).alias("k"), col(row).alias("r"))
     if similarity is None:
         edges, value = None, col(fp)
     else:
         value = col(fp)["fp"]
-        edges = similar_links(rows.select(value.alias("fp"), col(fp)["bands"].alias("bands"), col(text).alias("text")), shingle, similarity)
+        edges = similar_links(rows.select(*[col(fp)[c].alias(c) for c in ("fp", "f0", "f1", "keys")], col(text).alias("text")), shingle, similarity)
     small = rows.select(value.alias("fp"), order.alias(rank))
     best = component_of(small, "fp", rank, edges)
     gone = _join(small, best, "fp").where(F.col("first") != col(rank)).select(col(rank)["r"].alias(out))

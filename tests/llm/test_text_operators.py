@@ -295,6 +295,34 @@ def test_near_copies_by_similarity(spark):
     assert corpus_pipeline.simhash_stage(spark, docs_of(spark, texts).limit(0), "").count() == 0
 
 
+def test_wide_fingerprint_is_a_simhash_whose_soft_golay_keys_meet():
+    r = np.random.default_rng(7)
+    one, two = [], []
+    for _ in range(400):  # pairs at exactly 0.8
+        h = r.integers(0, 2**64, 100, dtype=np.uint64)
+        one.append(h[:90])
+        two.append(np.r_[h[:80], h[90:]])
+    sums = [np.stack([simhash.wide_sums(x) for x in sets]) for sets in (one, two)]
+    for x, s in zip(one[:20], sums[0], strict=False):
+        assert (s[:64] > 0).tolist() == [2 * sum(int(h) >> b & 1 for h in x) > len(x) for b in range(64)]
+    keys = [[set(k) for k in simhash.soft_keys(s).tolist()] for s in sums]
+    assert all(a & b for a, b in zip(*keys, strict=True))
+    assert ((sums[0][:, :128] > 0) != (sums[1][:, :128] > 0)).sum(axis=1).max() <= simhash.WIDE_BITS
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_close_fingerprints_of_a_key(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    low = lambda n: (1 << n) - 1
+    rows = [(1, 0, 0, [5]), (2, low(44), 0, [5]), (3, 0, low(45), [5]), (4, 0, 0, [6])]  # 44 and 45 bits away
+    rows += [(100 + i, 7 << 40 | 1 << i, 0, [9]) for i in range(30)]  # all close
+    got = simhash.close_fingerprints(spark.createDataFrame(rows, "fp long, f0 long, f1 long, keys array<int>")).collect()
+    pairs, members = {(x["a"], x["b"]) for x in got if x["key"] < 0}, {(x["key"], x["a"]) for x in got if x["key"] >= 0}
+    assert {p for p in pairs if p[0] < 100} == {(1, 2)}
+    assert {k for k, _ in members} == {9}
+    assert all((9, f) in members or any(f in p for p in pairs) for f in range(100, 130))
+
+
 # --- line dedup
 
 
