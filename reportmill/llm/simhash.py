@@ -18,7 +18,8 @@ segments of 24 bits, and each segment's index is a codeword of the extended Gola
 decision: the sums behind the bits are correlated with the 4,096 codewords, so bits that nearly came out
 the other way weigh little. A key is a pair of indices of two segments, the ``PROBES`` likeliest of each
 pair: 112 keys a text. Texts that share a key are compared on the first 128 bits (``WIDE_BITS`` may
-differ), then on their whole sets. A pair at 0.8 shares a key of one pair of segments with a probability
+differ); what is connected by that is a group, whose whole sets are compared, all with all in blocks, or,
+in groups of more than ``WHOLE`` blocks, those that share a key. A pair at 0.8 shares a key of one pair of segments with a probability
 of 0.58 and of none of the 14 with one of 5e-6 (both for normal sums), closer ones with less.
 
 Defined results: texts without words have fingerprint zero and link like any other; a null id never
@@ -31,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportmill.llm.common import col, documents, fresh, materialize
@@ -44,6 +45,8 @@ MAX_BITS = 2
 BLOCK = 1024
 #: Shingles in a block of sets, and columns of an incidence matrix.
 ELEMENTS, COLUMNS = 1 << 19, 2048
+#: Blocks of sets in a group of close fingerprints that is compared all with all: each set is dealt so often.
+WHOLE = 16
 #: Pairs of segments of a wide fingerprint, codewords tried of a segment, keys taken of a pair, for exact similarity.
 TABLES, CODEWORDS, PROBES = 14, 4, 8
 #: Bits of the first 128 in which similar texts may differ (19 in the mean at 0.8, 24 for sets of five shingles).
@@ -287,6 +290,65 @@ def _stars(fps: np.ndarray, bits: np.ndarray) -> tuple[list[tuple[int, int]], np
     return out, rest.any(axis=1)
 
 
+def _whole_runs(it):
+    """Tables of whole runs (rows of equal ``run``), which may go on in the next batch."""
+    rest = None
+    for pdf in it:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        run = pdf["run"].to_numpy()
+        last = int(np.searchsorted(run, run[-1]))
+        rest = pdf.iloc[last:]
+        if last:
+            yield pdf.iloc[:last]
+    if rest is not None:
+        yield rest
+
+
+def _least_close(fps: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Of a run: for each row the least number of those it is connected with by steps of at most WIDE_BITS."""
+    out, left = fps.copy(), np.ones(len(fps), bool)
+    for i in np.argsort(fps):
+        if not left[i]:
+            continue
+        left[i], todo = False, [i]
+        while todo:
+            j = todo.pop()
+            rest = np.flatnonzero(left)
+            found = rest[_near(bits, rest, np.array([j])) <= WIDE_BITS]
+            left[found], out[found] = False, fps[i]
+            todo += found.tolist()
+    return out
+
+
+def _connected_runs(it):
+    """Edges (a, b) that connect the numbers (a fingerprint or its group) of close rows of each run: at most one a row."""
+    for pdf in _whole_runs(it):
+        run, fps, bits = pdf["run"].to_numpy(), pdf["fp"].to_numpy(), pdf[["f0", "f1"]].to_numpy("int64").view(np.uint64)
+        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        size = np.diff(np.r_[starts, len(run)])
+        mixed = np.maximum.reduceat(fps, starts) != np.minimum.reduceat(fps, starts)
+        least, at = fps.copy(), np.flatnonzero(np.repeat(mixed & (size <= 64), size))
+        step, one, two = 1, [at[:0]], [at[:0]]
+        while len(at):  # short runs, all at once: each row with the one so many steps on
+            at = at[at + step < len(run)]
+            at = at[run[at] == run[at + step]]
+            hit = at[_near(bits, at, at + step) <= WIDE_BITS]
+            one.append(hit)
+            two.append(hit + step)
+            step += 1
+        i, j = np.concatenate(one), np.concatenate(two)
+        while (least[i] != least[j]).any():
+            low = np.minimum(least[i], least[j])
+            np.minimum.at(least, i, low)
+            np.minimum.at(least, j, low)
+        for k in np.flatnonzero(mixed & (size > 64)):
+            part = slice(starts[k], starts[k] + size[k])
+            least[part] = _least_close(fps[part], bits[part])
+        yield pd.DataFrame({"a": least, "b": fps})[least != fps].drop_duplicates()
+
+
 def _close_runs(it):
     """Of runs of fingerprints that share a key, which may go on in the next batch: pairs to compare (a, b, -1) and, where
     a run has more close pairs than those, its members (a, a, key)."""
@@ -318,31 +380,43 @@ def _close_runs(it):
         pairs = {(min(p), max(p)) for p in pairs}
         return pd.DataFrame([(*p, -1) for p in sorted(pairs)] + [(f, f, key) for f, key in members], columns=["a", "b", "key"], dtype="int64")
 
-    rest = None
-    for pdf in it:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        run = pdf["run"].to_numpy()
-        last = int(np.searchsorted(run, run[-1]))
-        rest = pdf.iloc[last:]
-        if last:
-            yield work(pdf.iloc[:last])
-    if rest is not None:
-        yield work(rest)
+    return map(work, _whole_runs(it))
 
 
-def close_fingerprints(nodes: DataFrame) -> DataFrame:
-    """Rows (a, b, key) of :func:`_close_runs` for nodes (fp, f0, f1, keys). Keys of many fingerprints are cut into pairs of blocks."""
-    keyed = nodes.select("fp", "f0", "f1", F.explode("keys").alias("key"))
-    hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * BLOCK), "hot-keys")
-    hot = hot.select("key", F.least(F.ceil(F.col("n") / BLOCK), F.lit(65535)).cast("int").alias("blocks"))
+def _hot_keys(nodes: DataFrame) -> DataFrame:
+    """(key, blocks) of keys with many fingerprints."""
+    hot = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * BLOCK)
+    return materialize(hot, "hot-keys").select("key", F.least(F.ceil(F.col("n") / BLOCK), F.lit(65535)).cast("int").alias("blocks"))
+
+
+def _dealt_runs(nodes: DataFrame, hot: DataFrame, name: str = "fp") -> DataFrame:
+    """(run, name as fp, f0, f1) of nodes (fp, f0, f1, keys), run by run: a key, or a pair of blocks of a hot one."""
+    keyed = nodes.select("f0", "f1", F.col(name).alias("fp"), F.xxhash64("fp").alias("hash"), F.explode("keys").alias("key"))
     cut = keyed.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.withColumn("block", F.pmod("hash", F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place = lambda c, n: F.shiftleft(c.cast("long"), n)
     run = place(F.col("key"), 32).bitwiseOR(place(F.least("block", "other"), 16)).bitwiseOR(F.greatest("block", "other").cast("long"))
-    dealt = cut.select(run.alias("run"), "fp", "f0", "f1").repartition("run").sortWithinPartitions("run")
-    return dealt.mapInPandas(_close_runs, "a long, b long, key long")
+    return cut.select(run.alias("run"), "fp", "f0", "f1").repartition("run").sortWithinPartitions("run")
+
+
+def close_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Rows (a, b, key) of :func:`_close_runs` for nodes (fp, f0, f1, keys)."""
+    return _dealt_runs(nodes, _hot_keys(nodes)).mapInPandas(_close_runs, "a long, b long, key long")
+
+
+def close_groups(nodes: DataFrame) -> DataFrame:
+    """(fp, key): the fingerprints of nodes (fp, f0, f1, keys) that are close to one of the same key; key tells what they connect.
+
+    The likeliest key of each pair of segments comes first; all keys then have to tell only what connects different groups of that.
+    """
+    hot = _hot_keys(nodes)
+    connected = lambda n, name: components(_dealt_runs(n, hot, name).mapInPandas(_connected_runs, "a long, b long"))
+    likeliest = nodes.withColumn("keys", F.filter("keys", lambda _, i: i % PROBES == 0))
+    known = connected(likeliest, "fp").toDF("fp", "known")
+    grouped = materialize(nodes.join(known, "fp", "left").withColumn("root", F.coalesce("known", "fp")), "likely-groups")
+    more = connected(grouped, "root").toDF("root", "more")
+    found = grouped.select("fp", "known", "root").join(more, "root", "left")
+    return found.select("fp", F.coalesce("more", "known").alias("key")).where("key IS NOT NULL")
 
 
 def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -402,23 +476,48 @@ def _similar_runs(it, similarity: float):
         yield pd.DataFrame(run(rest), columns=["a", "b"], dtype="int64")
 
 
+def _compared(member: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect the similar sets of each key of member (key, fp, blocks), compared in pairs of blocks."""
+    cut = member.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp")
+    dealt = _join(cut, sets, "fp").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInPandas(lambda it: _similar_runs(it, similarity), "a long, b long")
+
+
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.sum("m") / ELEMENTS), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks")
+
+
 def similar_links(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     """Edges (a, b) that connect all sets of shingles at least so similar, of rows (fp, f0, f1, keys, text).
 
-    Fingerprints that share a key and are close are candidates. First each is compared, on the whole sets, with the
-    one of its key that is closest to the others (as the original of many copies is). Where a key then still holds
-    close ones of different components, all its sets that are close to another are compared in pairs of blocks of
-    bounded size, which give a spanning forest each; no pairs are listed. A large group of near copies of one
-    text costs no square of its sets unless many of them are farther from it.
+    Fingerprints that share a key and are close are candidates. What they connect is a group, whose sets are
+    compared all with all in pairs of blocks of bounded size, which give a spanning forest each: no pairs are
+    listed, and a set is dealt at most ``WHOLE`` times. Larger groups go by their keys (:func:`_links_by_key`).
     """
-    nodes = rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("f0", "f1", "keys")])
-    close = materialize(close_fingerprints(materialize(nodes, "wide-fingerprints")), "close-fingerprints")
-    stars = close.where("key < 0").select("a", "b").distinct()
-    keyed = close.where("key >= 0").select("key", F.col("a").alias("fp")).distinct()
-    in_pairs = close.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = rows.select("fp", "text").join(in_pairs, "fp").groupBy("fp").agg(F.first("text").alias("text"))
+    nodes = materialize(rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("f0", "f1", "keys")]), "wide-fingerprints")
+    near = materialize(close_groups(nodes), "close-groups")
+    texts = rows.select("fp", "text").join(near.select("fp"), "fp").groupBy("fp").agg(F.first("text").alias("text"))
     whole = F.pandas_udf(lambda s: s.map(lambda t: shingles(t, width).view(np.int64)), "array<long>")
     sets = materialize(texts.select("fp", whole("text").alias("set")), "shingle-sets")
+    blocks = _join(near, sets.select("fp", F.size("set").alias("m")), "fp").groupBy("key").agg(_blocks())
+    member = materialize(_join(near, blocks, "key"), "close-blocks")
+    edges = _compared(member.where(F.col("blocks") <= WHOLE), sets, similarity)
+    large = member.where(F.col("blocks") > WHOLE).select("fp")
+    return edges if large.isEmpty() else edges.unionByName(_links_by_key(nodes.join(large, "fp"), sets, similarity))
+
+
+def _links_by_key(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The same edges for groups of any size, of nodes (fp, f0, f1, keys) and their sets.
+
+    First each is compared, on the whole sets, with the one of its key that is closest to the others (as the
+    original of many copies is). Where a key then still holds close ones of different components, all its sets
+    that are close to another are compared in pairs of blocks. A large group of near copies of one text costs no
+    square of its sets unless many of them are farther from it.
+    """
+    close = materialize(close_fingerprints(nodes), "close-fingerprints")
+    stars = close.where("key < 0").select("a", "b").distinct()
+    keyed = close.where("key >= 0").select("key", F.col("a").alias("fp")).distinct()
     sized = sets.select("fp", F.size("set").alias("m"))
     fit = _join(_join(stars, sized.toDF("a", "na"), "a"), sized.toDF("b", "nb"), "b")
     fit = fit.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity)
@@ -426,13 +525,9 @@ def similar_links(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     first = materialize(both.where(F.col("same") / (F.col("na") + F.col("nb") - F.col("same")) >= similarity).select("a", "b"), "similar")
     roots = components(first).select(F.col("node").alias("fp"), "root")
     member = keyed.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    blocks = F.greatest(F.ceil(F.sum("m") / ELEMENTS), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks")
-    mixed = _join(member, sized, "fp").groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), blocks).where("least <> most")
+    mixed = _join(member, sized, "fp").groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), _blocks()).where("least <> most")
     member = materialize(_join(member.select("key", "fp"), mixed.select("key", "blocks"), "key"), "mixed-keys")
-    cut = member.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp")
-    dealt = _join(cut, sets, "fp").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return first.unionByName(dealt.mapInPandas(lambda it: _similar_runs(it, similarity), "a long, b long"))
+    return first.unionByName(_compared(member, sets, similarity))
 
 
 def component_of(rows: DataFrame, fp: str, order: str, edges: DataFrame | None = None) -> DataFrame:

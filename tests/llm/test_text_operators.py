@@ -323,6 +323,27 @@ def test_close_fingerprints_of_a_key(spark, monkeypatch, block):
     assert all((9, f) in members or any(f in p for p in pairs) for f in range(100, 130))
 
 
+@pytest.mark.parametrize(("block", "whole"), [(1024, 16), (32, 16), (1024, 0), (32, 0)])
+def test_a_large_group_of_close_texts_is_not_listed_in_pairs(spark, monkeypatch, block, whole):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "WHOLE", whole, raising=False)
+    r, made, join = random.Random(16), [], simhash._join
+
+    def counted(left, right, on):
+        made.append(join(left, right, on).count())
+        return join(left, right, on)
+
+    base = " ".join(f"w{r.randint(0, 999)}" for _ in range(120))
+    texts = [base, *(replaced(r, base, r.randint(2, 6)) for _ in range(250)), *(" ".join(f"v{r.randint(0, 999)}" for _ in range(50)) for _ in range(20))]
+    sets, n = [word_sets(t) for t in texts], len(texts)
+    want = roots(n, [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    if block == 1024 and whole:
+        monkeypatch.setattr(simhash, "_join", counted)
+    kept = sorted(x["doc_id"] for x in corpus_pipeline.simhash_stage(spark, docs_of(spark, texts), "").collect())
+    assert kept == sorted(set(want)) and len(kept) > 30
+    assert max(made, default=0) <= 2 * n
+
+
 # --- line dedup
 
 
