@@ -235,7 +235,7 @@ def _is_set(bits: bytes, h: int) -> int:
 
 
 def _keyed(docs: DataFrame, text: str, min_chars: int, tau: int) -> DataFrame:
-    """(key, c): index and probe keys of all lines, of equal lines in a batch once; the lowest bit of c marks probes."""
+    """(key, c): index and probe keys of all lines, of equal lines in a batch once; the lowest bit of both marks probes."""
 
     def work(it):
         for pdf in it:
@@ -249,13 +249,18 @@ def _keyed(docs: DataFrame, text: str, min_chars: int, tau: int) -> DataFrame:
                 owner.append(line_hash(x))
                 counts.append((len(index), len(probes)))
             n = np.array(counts, np.int64).reshape(-1, 2)
-            sides = np.tile(np.array([0, 1]), len(n))
-            c = np.repeat(np.array(owner, np.int64), n.sum(axis=1)) | np.repeat(sides, n.ravel())
-            yield pd.DataFrame({"key": np.array(key, np.uint64).view(np.int64), "c": c})
+            side = np.repeat(np.tile(np.array([0, 1]), len(n)), n.ravel())
+            c = np.repeat(np.array(owner, np.int64), n.sum(axis=1)) | side
+            yield pd.DataFrame({"key": np.array(key, np.uint64).view(np.int64) & ~1 | side, "c": c})
 
     return docs.select(col(text).alias("t")).mapInPandas(work, "key long, c long")
 
 
+def _sorted_keys(docs: DataFrame, text: str, min_chars: int, tau: int) -> DataFrame:
+    """The rows of :func:`_keyed` key by key, index first. One number tells the order, so Spark sorts by radix."""
+    return _keyed(docs, text, min_chars, tau).repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+
+
 def _meeting(it):
     """Rows of the keys that the index of one class and another class share. Rows come by key, index first.
 
@@ -339,8 +344,8 @@ def _verified(it, tau: int):
 def linked_classes(docs: DataFrame, classes: DataFrame, *, text: str, min_chars: int, tau: int) -> DataFrame:
     """(h, len, place): for each class with an earlier linked class the place of the earliest found for it."""
     spark = docs.sparkSession
-    dealt = _keyed(docs, text, min_chars, tau).repartition("key").sortWithinPartitions("key", F.col("c").bitwiseAND(F.lit(1)))
-    met = dealt.mapInPandas(_meeting, "key long, c long").distinct()
+    dealt = _sorted_keys(docs, text, min_chars, tau)
+    met = dealt.mapInPandas(lambda it: _meeting(pdf.assign(key=pdf["key"] & ~1) for pdf in it), "key long, c long").distinct()
     met = materialize(met.select("key", F.col("c").bitwiseAND(F.lit(~1)).alias("h"), (F.col("c").bitwiseAND(F.lit(1)) == 1).alias("probe")), "line-candidates")
     shared = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     texts = _texts(docs, text, _bit_map(spark, met.select("h"))).groupBy("h", "len").agg(F.first("line").alias("line"))
@@ -385,7 +390,7 @@ def duplicates(
     similarity: float | None = None, words: int = COPY_WORDS,
 ) -> DataFrame:
     """(d, th, nos): for each document with duplicate lines their numbers, from 0."""
-    rows = occurrences(docs, text, key, min_chars)
+    rows = materialize(occurrences(docs, text, key, min_chars), "line-places")
     classes = rows.groupBy("h", "len").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes, "line-classes")
     links = linked_classes(docs, classes, text=text, min_chars=min_chars, tau=tau).select("h", "len", F.col("place").alias("earlier"))

@@ -451,6 +451,19 @@ def test_hot_line(spark):
     assert kept[0] == texts[0] and all(common not in t for t in kept[1:])
 
 
+def test_lines_are_split_once_and_their_keys_sorted_by_one_number(spark):
+    docs = docs_of(spark, line_docs())
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan(line_dedup.duplicates(docs))  # reads what was written of the lines
+    dealt = line_dedup._sorted_keys(docs, "text", line_dedup.MIN_CHARS, line_dedup.DISTANCE)
+    assert "Sort [key#" in plan(dealt) and "ASC NULLS FIRST]" in plan(dealt).split("Sort [key#")[1].split("\n")[0].split(",")[0]
+    got = dealt.rdd.glom().map(lambda part: [(r["key"], r["c"]) for r in part]).collect()
+    assert sum(map(len, got)) > 100 and all(k & 1 == c & 1 for part in got for k, c in part)
+    assert all(part == sorted(part, key=lambda r: r[0]) for part in got)
+    where = [{k >> 1 for k, _ in part} for part in got]
+    assert sum(map(len, where)) == len(set().union(*where))  # index and probes of a key are in one part
+
+
 @pytest.mark.parametrize("few", [64, 0])
 def test_repeats_inside_a_text(monkeypatch, few):
     monkeypatch.setattr(line_dedup, "FEW_LINES", few)
