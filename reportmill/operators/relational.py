@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def complete_grid(facts: DataFrame, rows: DataFrame, columns: DataFrame, fill: dict[str, object]) -> DataFrame:
@@ -97,10 +98,22 @@ def pivot_counts(df: DataFrame, by: list[str], column: str, values: list[str]) -
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(only_left, only_right): rows, with repeats, that only one of two frames has."""
-    left, right = a.exceptAll(b), b.exceptAll(a)
-    tag = lambda d, s: d.select(F.lit(s).alias("side"))
-    return tag(left, "l").unionByName(tag(right, "r")).agg(F.count_if(F.col("side") == "l").alias("only_left"), F.count_if(F.col("side") == "r").alias("only_right"))
+    """(only_left, only_right): rows, with repeats, that only one of two frames has. Columns are matched by position.
+
+    Texts and bytes are compared by their SHA-256, so that no long value is dealt or held; null stays null.
+    """
+    texts = (T.StringType(), T.BinaryType())
+    long = [x.dataType in texts and x.dataType == y.dataType for x, y in zip(a.schema, b.schema, strict=True)]
+    keys = [f"k{i}" for i in range(len(long))]
+
+    def counted(d: DataFrame, sign: int) -> DataFrame:
+        # Each side is grouped before the union: there Spark leaves out a sort of that side, which deals all rows anew.
+        key = [F.unhex(F.sha2(F.col(k).cast("binary"), 256)).alias(k) if x else F.col(k) for k, x in zip(keys, long, strict=True)]
+        return d.toDF(*keys).select(*key).groupBy(*keys).agg((F.count(F.lit(1)) * sign).alias("n"))
+
+    more = counted(a, 1).union(counted(b, -1)).groupBy(*keys).agg(F.sum("n").alias("n"))  # of the left side
+    total = lambda n: F.coalesce(F.sum(F.greatest(F.lit(0), n)), F.lit(0))
+    return more.agg(total(F.col("n")).alias("only_left"), total(-F.col("n")).alias("only_right"))
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -97,6 +97,23 @@ def test_wilson(spark):
     assert got["w"]["low"] == pytest.approx(0.4901625, abs=1e-6) and got["w"]["high"] == pytest.approx(0.9433178, abs=1e-6) and got["none"] is None
 
 
+def test_same_rows(spark):
+    a = spark.createDataFrame([(1, "x", 0.0), (1, "x", -0.0), (2, None, None), (2, "", None), (3, "y", 1.0)], "i int, t string, v double")
+    b = spark.createDataFrame([("x", 1, 0.0), ("", 2, None), ("", 2, None), ("z", 3, 1.0)], "t string, i long, v double").select("i", "t", "v")
+    assert [tuple(r) for r in R.same_rows(a, b).collect()] == [(a.exceptAll(b).count(), b.exceptAll(a).count())] == [(3, 2)]
+    assert tuple(R.same_rows(a.limit(0), b.limit(0)).first()) == (0, 0)
+    twice = a.select("i", "t", F.col("i").alias("t"))
+    assert tuple(R.same_rows(twice, twice.limit(0)).first()) == (5, 0)
+    assert [f.dataType.simpleString() for f in R.same_rows(a, b).schema] == ["bigint", "bigint"]
+
+
+def test_same_rows_deals_no_text(spark, capsys):
+    texts = spark.createDataFrame([(i, "word " * 2000 + str(i), "en") for i in range(40)], "i int, t string, lang string")
+    R.same_rows(texts, texts.orderBy("lang")).explain()
+    plan = capsys.readouterr().out
+    assert "rangepartitioning" not in plan and plan.count("sha2(") >= 2
+
+
 def test_sources_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 'two\nlines, "quoted"', [1, 2]), (2, None, [])], "id int, text string, xs array<int>")
     sinks.write_csv(df, str(tmp_path / "t.csv"), single=True)
