@@ -90,19 +90,39 @@ def contains_terms(c: Column, terms) -> Column:
     return c.rlike(term_pattern(terms))
 
 
+BLOCK = 16
+
+
+def sums_before(a: Column, levels: int = 2) -> Column:
+    """For each number of an array the sum of those before it, by blocks and blocks of blocks, so that work grows with the array and not with its square."""
+    total = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x)
+    within = lambda b, start: F.transform(b, lambda x, i: start + total(F.slice(b, 1, i)))
+    if not levels:
+        return within(a, F.lit(0))
+
+    def summed(blocks: Column) -> Column:
+        return F.flatten(F.zip_with(blocks, sums_before(F.transform(blocks, total), levels - 1), within))
+
+    def split(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(a), F.lit(BLOCK)), lambda i: F.slice(a, i, BLOCK))
+
+    return let(a, lambda a: F.when(F.size(a) <= BLOCK, within(a, F.lit(0))).otherwise(let(split(a), summed)))
+
+
 def spans(c: Column, pattern: str) -> Column:
     """array<struct<s,e,t>> of the non-empty matches of a pattern; ends are exclusive."""
-    hits, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
-    length = lambda a, upto: F.aggregate(F.slice(a, 1, upto), F.lit(0), lambda n, x: n + F.length(x))
+    def pieces(t: Column) -> Column:
+        hits, gaps = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
+        piece = lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("n"), h.alias("t"))
+        return let(hits, lambda h: F.zip_with(h, F.slice(gaps, 1, F.size(h)), piece))
 
-    def place(h: Column, g: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            start = length(g, i + 1) + length(h, i)
-            return F.struct(start.alias("s"), (start + F.length(t)).alias("e"), t.alias("t"))
+    def place(p: Column) -> Column:
+        def one(x: Column, at: Column) -> Column:
+            return F.struct((at + x["gap"]).alias("s"), (at + x["gap"] + x["n"]).alias("e"), x["t"].alias("t"))
 
-        return F.transform(h, one)
+        return F.zip_with(p, sums_before(F.transform(p, lambda x: x["gap"] + x["n"])), one)
 
-    return let(hits, lambda h: let(gaps, lambda g: place(h, g)))
+    return let(c, lambda t: let(pieces(t), place))
 
 
 def span_gap(a: Column, b: Column) -> Column:
@@ -112,7 +132,7 @@ def span_gap(a: Column, b: Column) -> Column:
 
 def merge_spans(*arrays: Column) -> Column:
     """Distinct spans of all arrays in order."""
-    return F.array_sort(F.array_distinct(F.concat(*arrays)))
+    return let(F.sort_array(F.concat(*arrays)), lambda a: F.filter(a, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(a, i - 1))))
 
 
 def tokens(c: Column) -> Column:

@@ -209,8 +209,8 @@ def txt_13(spark, d):
 
 @register("txt_20_merged_spans", None)
 def txt_20(spark, d):
-    n = X.normalize(F.col("report"))
-    return docs(spark, d).select("study", F.size(X.merge_spans(X.spans(n, X.term_pattern(("the",))), X.spans(n, r"(?U)\b(?:the|th\w+)\b"))).alias("n_spans"))
+    merged = X.let(X.normalize(F.col("report")), lambda n: X.merge_spans(X.spans(n, X.term_pattern(("the",))), X.spans(n, r"(?U)\b(?:the|th\w+)\b")))
+    return docs(spark, d).select("study", F.size(merged).alias("n_spans"))
 
 
 _PHENOTYPES = r"""CASE WHEN status = 'negative' THEN 'abnormality_absent' WHEN regexp_matches(evidence, 'tear|torn|rupture|rotura') THEN 'tear' WHEN regexp_matches(evidence, 'fracture') THEN 'fracture'

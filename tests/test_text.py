@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -36,6 +37,17 @@ def test_spans(spark):
     assert [[tuple(x) for x in f] for f in found] == want
 
 
+def test_spans_of_many_matches(spark):
+    texts = ["the " * n for n in (1, 16, 17, 255, 256, 257, 4096, 4097)] + ["the cat\n" * 20000]
+    pattern = r"(?U)(?<!\w)(?:the|cat)(?!\w)"
+    began = time.time()
+    found = column(spark, texts, lambda c: X.merge_spans(X.spans(c, pattern), X.spans(c, X.term_pattern(("the",)))))
+    want = [[(m.start(), m.end(), m[0]) for m in re.finditer(r"\b(?:the|cat)\b", t)] for t in texts]
+    assert [[tuple(x) for x in f] for f in found] == want
+    assert time.time() - began < 60  # minutes when work grows with the square of the matches
+    assert column(spark, [None], lambda c: X.merge_spans(X.spans(c, pattern), X.spans(c, "the"))) == [None]
+
+
 def test_language(spark):
     texts = [C.normalize_text(t) for t in ["Findings: no evidence of tear in the knee.", "", "χιαστός σύνδεσμος", "связки целы", "xyz", "Befund: kein Erguss, und die Menisken sind intakt"]]
     assert column(spark, texts, X.language_group) == [C.language(t) for t in texts]
