@@ -136,7 +136,7 @@ def merge_spans(*arrays: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
 
 
 def mask_numbers(c: Column) -> Column:

@@ -102,7 +102,8 @@ def txt_08(spark, d):
 
 @register("txt_10_tokens", f"SELECT doc_id AS study, CAST(len({TOKENS_SQL}) AS INT) AS n_tokens, sha256(array_to_string({TOKENS_SQL}, ' ')) AS tokens_sha256 FROM documents")
 def txt_10(spark, d):
-    return docs(spark, d).select("study", F.size(words()).alias("n_tokens"), X.sha256(F.array_join(words(), " ")).alias("tokens_sha256"))
+    found = docs(spark, d).select("study", X.let(words(), lambda w: F.struct(F.size(w).alias("n_tokens"), X.sha256(F.array_join(w, " ")).alias("tokens_sha256"))).alias("x"))
+    return found.select("study", "x.*")
 
 
 @register("txt_11_number_mask", None)

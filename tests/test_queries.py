@@ -49,6 +49,11 @@ def test_query(spark, duck, name):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_tokens_are_found_once(spark, capsys):
+    registry.queries()["txt_10_tokens"](spark, DATA).explain()
+    assert capsys.readouterr().out.count("regexp_extract_all(") == 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
