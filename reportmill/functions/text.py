@@ -47,35 +47,48 @@ def fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return source, "".join(b for _, b in one), tuple(longer)
 
 
-FOREIGN = r"[^\x00-\x7F]+"
+FOREIGN = r"[^\x00-\x7F]"
 
 
-def fold_marks(c: Column) -> Column:
-    """Without combining marks and compatibility forms. Only runs beyond ASCII are looked at letter by letter."""
-    source, target, longer = fold_table()
+def _one_of(letters: str) -> str:
+    """A pattern of one of some letters beyond ASCII; ASCII fails it at the first test."""
+    return rf"{FOREIGN}(?<=[{letters}])"
+
+
+def _is_ascii(t: Column) -> Column:
+    return F.octet_length(t) == F.length(t)
 
-    def plain(run: Column) -> Column:
-        for a, b in longer:
-            run = F.replace(run, F.lit(a), F.lit(b))
-        return F.translate(run, source, target)
+
+def fold_marks(c: Column, also: dict[str, str] | None = None) -> Column:
+    """Without combining marks and compatibility forms, in one pass over texts beyond ASCII. also: what becomes of more letters after that."""
+    source, target, longer = fold_table()
+    also = also or {}
+    plain = dict(zip(source, target.ljust(len(source), "\0"), strict=True))  # \0: goes
+    table = {a: also.get(b, b) or "\0" for a, b in plain.items()}
+    table |= {a: b or "\0" for a, b in also.items() if a not in table}
+    kept, gone = [a for a, b in table.items() if b != "\0"], [a for a, b in table.items() if b == "\0"]
 
     def folded(t: Column) -> Column:
-        runs = F.transform(F.regexp_extract_all(t, F.lit(FOREIGN), F.lit(0)), plain)
-        return F.array_join(F.zip_with(F.split(t, FOREIGN, -1), runs, lambda gap, run: F.concat(gap, F.coalesce(run, F.lit("")))), "")
+        spelt = t
+        for a, b in longer:
+            spelt = F.replace(spelt, F.lit(a), F.lit(b))
+        spelt = F.when(t.rlike(_one_of("".join(a for a, _ in longer))), spelt).otherwise(t)
+        return F.translate(spelt, "".join(kept + gone), "".join(table[a] for a in kept))
 
-    return let(c, lambda t: F.when(t.rlike(FOREIGN), folded(t)).otherwise(t))
+    return let(c, lambda t: F.when(_is_ascii(t), t).otherwise(folded(t)))
 
 
 def normalize(c: Column) -> Column:
     """Folded, lower case, without marks, with single blanks; line breaks stay. Null becomes the empty text."""
-    c = F.coalesce(c, F.lit(""))
-    for a, b in DOUBLE_FOLD.items():
-        c = F.replace(c, F.lit(a), F.lit(b))
-    letters = "".join(SINGLE_FOLD)
-    c = let(c, lambda t: F.when(t.rlike(f"[{letters}]"), F.translate(t, letters, "".join(SINGLE_FOLD.values()))).otherwise(t))
-    c = fold_marks(F.replace(F.lower(c), F.lit("\u00ad"), F.lit("")))
-    c = F.regexp_replace(c, rf"[_/\\]+|[{DASHES}]+", " ")
-    return F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"^\s+|\s+$", "")
+    def single(t: Column) -> Column:
+        for a, b in (DOUBLE_FOLD | SINGLE_FOLD).items():
+            t = F.replace(t, F.lit(a), F.lit(b))
+        return t
+
+    special = _one_of("".join(DOUBLE_FOLD | SINGLE_FOLD))
+    c = let(F.coalesce(c, F.lit("")), lambda t: F.lower(F.when(_is_ascii(t) | ~t.rlike(special), t).otherwise(single(t))))
+    c = fold_marks(c, {"\u00ad": ""} | {dash: "-" for dash in DASHES})
+    return F.trim(F.regexp_replace(c, r"[-_/\\ \t]+", " "), F.lit(" \t\n\x0b\f\r"))
 
 
 def term_pattern(terms) -> str:

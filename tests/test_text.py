@@ -30,6 +30,16 @@ def test_normalize_more(spark, texts):
     assert column(spark, texts, X.normalize) == [C.normalize_text(t) for t in texts]
 
 
+def test_normalize_in_one_pass(spark):
+    assert column(spark, ["a _-–/ b ", "x \u0085", "\x0b\f a\n"], X.normalize) == ["a b", "x \u0085", "a"]  # as in SQL, a blank before another line end stays
+    sql = str(X.normalize(F.col("t")))
+    assert "regexp_extract_all" not in sql and sql.count("regexp_replace") == 1
+    every = [chr(i) for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(every[i : i + 64]) for i in range(0, len(every), 64)]
+    plain = column(spark, texts, X.fold_marks)
+    assert column(spark, plain, X.fold_marks) == plain
+
+
 def test_spans(spark):
     texts = ["the cat and the dog", "", "other theme", "the", "the  cat, the cat"]
     found = column(spark, texts, lambda c: X.spans(c, X.term_pattern(("the cat", "the"))))
