@@ -6,9 +6,12 @@ by (study, target) and array expressions over the few mentions of a group.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from reportmill.functions import clauses as C
 from reportmill.functions import morphology as M
@@ -26,7 +29,22 @@ POSTPONED = {"positive": 3, "uncertain": 2, "negative": 1, "unknown": 0}
 
 
 def _udf(f, kind: str):
-    return F.pandas_udf(lambda s: pd.Series([f(x) for x in s], dtype=object), kind)
+    """An Arrow UDF of one column of reports; f and the conversion of its rows run once for each distinct report of a batch."""
+    out = T.DataType.fromDDL(kind)
+    arrow = to_arrow_type(out)
+
+    def named(x, t):
+        if x is None or not isinstance(t, T.ArrayType | T.StructType):
+            return x
+        if isinstance(t, T.ArrayType):
+            return [named(v, t.elementType) for v in x]
+        return {c.name: named(v, c.dataType) for c, v in zip(t.fields, x, strict=True)}
+
+    def work(reports: pa.Array) -> pa.Array:
+        each = pc.dictionary_encode(reports, null_encoding="encode")
+        return pa.array([named(f(x), out) for x in each.dictionary.to_pylist()], arrow).take(each.indices)
+
+    return F.arrow_udf(work, out)
 
 
 def clause_array(report: Column) -> Column:
@@ -101,6 +119,10 @@ def grid(studies: DataFrame) -> DataFrame:
     return studies.withColumn("target", F.explode(F.array(*[F.lit(t) for t in V.TARGETS])))
 
 
+def _others(pairs: DataFrame) -> list[str]:
+    return [c for c in pairs.columns if c not in ("study", "target")]
+
+
 # --- reconciliation
 
 def _winner(items: Column) -> Column:
@@ -108,10 +130,10 @@ def _winner(items: Column) -> Column:
     return F.when(has("positive"), "positive").when(has("uncertain"), "uncertain").when(has("negative"), "negative").otherwise("unknown")
 
 
-def resolve_base(found: DataFrame, studies: DataFrame) -> DataFrame:
-    """One row per study and target under the base policy; absent evidence is unknown, never negative."""
+def resolve_base(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The studies and targets of pairs under the base policy, with their other columns at the end; absent evidence is unknown, never negative."""
     rows = found.groupBy("study", "target").agg(F.sort_array(F.collect_list(F.struct("ord", "status", "text", "collective"))).alias("m"))
-    rows = grid(studies.select("study")).join(rows, ["study", "target"], "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<ord:int,status:string,text:string,collective:boolean>>")))
+    rows = pairs.join(rows, ["study", "target"], "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<ord:int,status:string,text:string,collective:boolean>>")))
     rows = rows.withColumn("status", _winner(F.col("m")))
     rows = rows.withColumn("w", F.filter("m", lambda x: x["status"] == F.col("status")))
     rows = rows.withColumn("c", F.filter("m", lambda x: (x["status"] != F.col("status")) & ~F.array_contains("w.text", x["text"])))
@@ -137,7 +159,7 @@ def resolve_base(found: DataFrame, studies: DataFrame) -> DataFrame:
     evidence = F.slice(F.array_distinct(F.transform(chosen, lambda x: F.substring(x["text"], 1, 500))), 1, 3)
     return rows.select(
         "study", "target", s, F.when(s == "positive", 1).when(s == "negative", 0).alias("derived_label"), score.alias("derived_score"),
-        confidence.alias("confidence"), evidence.alias("evidence"), rationale.alias("rationale"),
+        confidence.alias("confidence"), evidence.alias("evidence"), rationale.alias("rationale"), *_others(pairs),
     )
 
 
@@ -157,11 +179,11 @@ def propositions(found: DataFrame) -> DataFrame:
 PROVENANCE = ("status", "phenotype", "evidence", "detectors", "view_kinds", "languages", "sections", "source_indices", "spans", "confidence", "collective", "rules")
 
 
-def resolve_propositions(found: DataFrame, studies: DataFrame) -> DataFrame:
-    """One row per study and target under the morphology policy, with nested provenance."""
+def resolve_propositions(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The studies and targets of pairs under the morphology policy, with nested provenance and their other columns at the end."""
     item = F.struct((-F.col("priority")).alias("p"), (-F.col("confidence")).alias("c"), F.col("evidence").alias("t"), "ord", F.struct(*PROVENANCE).alias("v"), "status")
     rows = found.groupBy("study", "target").agg(F.array_sort(F.collect_list(item)).alias("m"))
-    rows = grid(studies.select("study")).join(rows, ["study", "target"], "left")
+    rows = pairs.join(rows, ["study", "target"], "left")
     rows = rows.withColumn("status", F.when(F.col("m").isNull(), "unknown").otherwise(_winner(F.col("m"))))
     rows = rows.withColumn("w", F.filter("m", lambda x: x["status"] == F.col("status")))
     rows = rows.withColumn("c", F.filter("m", lambda x: (x["status"] != F.col("status")) & ~F.array_contains("w.t", x["t"])))
@@ -178,7 +200,7 @@ def resolve_propositions(found: DataFrame, studies: DataFrame) -> DataFrame:
         "study", "target", s, F.when(s == "positive", 1).when(s == "negative", 0).alias("derived_label"),
         F.when(s == "positive", 1.0).when(s == "uncertain", 0.5).when(s == "negative", 0.0).alias("derived_score"), F.round(confidence, 6).alias("confidence"),
         chosen["evidence"].alias("evidence"), rationale.alias("rationale"), F.array_distinct(chosen["phenotype"]).alias("phenotypes"),
-        F.array_distinct(F.flatten(chosen["detectors"])).alias("detectors"), chosen.alias("evidence_provenance"),
+        F.array_distinct(F.flatten(chosen["detectors"])).alias("detectors"), chosen.alias("evidence_provenance"), *_others(pairs),
     )
 
 
@@ -187,21 +209,29 @@ def resolve_propositions(found: DataFrame, studies: DataFrame) -> DataFrame:
 BASE_POLICY, MORPHOLOGY_POLICY = "report-label-policy-v2.0.0", "report-label-policy-v3.0.0"
 
 
+def _official() -> Column:
+    return F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"`{t}`").cast("int").alias("official_label")) for t in V.TARGETS])
+
+
 def official_labels(reports: DataFrame) -> DataFrame:
     """(study, target, official_label) of the wide nullable target columns."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"`{t}`").cast("int").alias("official_label")) for t in V.TARGETS]))
-    return reports.select("study", pairs.alias("p")).select("study", "p.*")
+    return reports.select("study", F.inline(_official()))
+
+
+def study_targets(reports: DataFrame) -> DataFrame:
+    """(study, target, official_label, report_sha256, language_group) of all targets; made of each report alone, so that nothing is joined."""
+    rows = reports.where("study IS NOT NULL").select("study", X.normalize(F.col("report")).alias("norm"), _official().alias("official"))
+    rows = rows.select("study", "official", X.sha256(F.col("norm")).alias("report_sha256"), X.language_group(F.col("norm")).alias("language_group"))
+    return rows.select("study", F.inline("official"), "report_sha256", "language_group")
 
 
 def supervision(reports: DataFrame, policy: str = "v3", leak: bool = False, found: DataFrame | None = None) -> DataFrame:
     """The long supervision table: derived and official labels, the final one and its source. found: mentions made before."""
+    pairs = study_targets(reports)
     if policy == "v2":
-        derived, version = resolve_base(base_mentions(reports, leak) if found is None else found, reports), BASE_POLICY
+        rows, version = resolve_base(base_mentions(reports, leak) if found is None else found, pairs), BASE_POLICY
     else:
-        derived, version = resolve_propositions(propositions(mentions(reports, leak) if found is None else found), reports), MORPHOLOGY_POLICY
-    norm = X.normalize(F.col("report"))
-    facts = reports.select("study", X.sha256(norm).alias("report_sha256"), X.language_group(norm).alias("language_group"))
-    rows = derived.join(official_labels(reports), ["study", "target"], "left").join(facts, "study")
+        rows, version = resolve_propositions(propositions(mentions(reports, leak) if found is None else found), pairs), MORPHOLOGY_POLICY
     official, own = F.col("official_label"), F.col("derived_label")
     source = F.when(official.isNotNull(), "official").when(own.isNotNull(), "report_derived").otherwise("unresolved")
     return rows.withColumn("final_label", F.coalesce(official, own)).withColumn("final_source", source).withColumn("policy_version", F.lit(version))
